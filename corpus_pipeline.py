@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variantsets.llm import line_dedup, near_dedup, quality
+from variantsets.llm import line_dedup, near_dedup, packing, quality, secrets
 from variantsets.llm.common import Scratch, documents, prepare
 
 
@@ -20,13 +20,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def _with_length(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
+    """Lines found in several documents go from all but one."""
     prepare(spark)
-    cut = line_dedup.line_dedup(docs)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _with_length(line_dedup.line_dedup(docs).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dedup.keep_first(docs)
 
 
-STAGES = [("quality", quality_rules), ("lines", repeated_lines), ("near_dedup", near_duplicates)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    prepare(spark)
+    return _with_length(secrets.mask_secrets(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document, with its sequence and place."""
+    prepare(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", repeated_lines), ("near dedup", near_duplicates), ("secret scan", secret_scan), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
