@@ -8,10 +8,10 @@ table key, so table keys are formed from shared half-keys only.
 
 Equal sets are collapsed first. Candidates are checked on the full shingle sets.
 Components do not need every pair of a bucket: each member is checked against
-the least member; then only pairs of one bucket that still lie in different
-components are looked at, buckets with many of these being split by a second
-table key (a similar pair shares many of them). The last split is compared in
-full, so that no bucket is capped.
+the least member. Buckets that then still lie in several components are joined
+to families, and a family is compared in full, in blocks: a task holds the sets
+of two blocks, counts all their intersections by one matrix product and hands on
+a spanning forest of the links, never the pairs.
 
 Two documents at similarity s share a table key with probability
 (1 - (1 - s**HALF)**m)**2: 0.9999 at 0.8 and nearly 1 above it.
@@ -32,19 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, grams, low_words, mix64, salted_join
+from .common import Scratch, WordHash, grams, low_words, mix64, partitions, salted_join
 from .components import components
 
 #: MinHashes in a half-key.
 HALF = 2
 #: Half-keys in each of the two collections.
 TABLES = 10
-#: Buckets with at most so many members are compared pair by pair; larger ones are split first.
-PAIRWISE = 64
+#: Documents in a block of a family, about.
+BLOCK = 512
 #: Rows of one hub that one task verifies.
 HUB_ROWS = 2000
-#: Pairs whose MinHashes agree less than this share are no candidates (at 0.8, 40 values do so once in 1e8).
-AGREE = 0.4
+#: Pairs whose MinHashes agree less than this share are no candidates (at 0.8, 40 values do so once in 1e6).
+AGREE = 0.5
 
 SKETCH = "id long, n long, key binary, halves array<long>, sig binary"
 
@@ -128,6 +128,71 @@ def _agreeing(share: float, threshold: float):
     return run
 
 
+def forest(sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
+    """Links (i, least of its component) among sets, found between the first ``left`` and the others (all with all if none)."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # a shingle of one set meets nothing
+    owner, column = owner[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    column = np.cumsum(np.r_[0, np.diff(column) != 0]) if len(column) else column
+    a, b = (slice(0, left), slice(left, None)) if left < len(sets) else (slice(None), slice(None))
+    common = np.zeros((len(sizes[a]), len(sizes[b])), np.float32)
+    step = 4096
+    total = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, total, step):
+        lo, hi = np.searchsorted(column, [start, start + step])
+        x = np.zeros((len(sets), step), np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = 1
+        common += x[a] @ x[b].T
+    common = np.rint(common).astype(np.int64)
+    union = sizes[a][:, None] + sizes[b][None, :] - common
+    i, j = np.nonzero(common * 100 >= percent * union)
+    j = j + (left if left < len(sets) else 0)
+    label = np.arange(len(sets))
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return [(int(k), int(label[k])) for k in np.flatnonzero(label != np.arange(len(sets)))]
+
+
+def _blocks(percent: int):
+    """Rows arrive dealt and sorted by (family, p, q); a pair of blocks may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets, left = None, [], [], 0
+
+        def links() -> pa.RecordBatch:
+            found = forest(sets, left, percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[x] for _, x in found], pa.int64()), pa.array([ids[x] for x, _ in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            hashes = batch.column("hashes")
+            flat, offsets = hashes.values.to_numpy(zero_copy_only=False), hashes.offsets.to_numpy()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("family", "p", "q", "right", "id")))
+            for k, (f, p, q, right, doc) in enumerate(rows):
+                if (f, p, q) != key:
+                    if key is not None:
+                        yield links()
+                    key, ids, sets, left = (f, p, q), [], [], 0
+                ids.append(doc)
+                sets.append(flat[offsets[k] : offsets[k + 1]].copy())
+                left += not right
+        if key is not None:
+            yield links()
+
+    return run
+
+
 class NearDedup:
     """One run over a table: ``links()`` finds the classes, ``result()`` gives a row per input row."""
 
@@ -181,19 +246,30 @@ class NearDedup:
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
         return salted_join(placed, mixed.select("key", "n"), "key", "id", salts=8)
 
-    def _across(self, buckets: DataFrame) -> DataFrame:
-        """Pairs of one bucket in different components."""
-        x, y = (buckets.select("key", F.col("id").alias(c), F.col("comp").alias(f"c_{c}")) for c in ("a", "b"))
-        return x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
+    def _within(self, apart: DataFrame) -> DataFrame:
+        """Links (a, b) among the members of buckets that still hold several components."""
+        scratch = self.scratch
+        low = apart.groupBy("key").agg(F.min("id").alias("a"))
+        family = components(salted_join(apart, low, "key", "id", salts=8).where("id > a").select("a", F.col("id").alias("b")), scratch).withColumnRenamed("component", "family")
+        blocks = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+        placed = salted_join(family, blocks, "family", "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        met = placed.select("family", "id", "own", other.alias("other"))
+        met = met.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("right"), "id")
+        sets = self._sets(family.select("id"))
+        dealt = met.join(sets, "id").repartition(partitions(sets.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q", "right", "id")
+        found = scratch.save(dealt.mapInArrow(_blocks(self.percent), "a long, b long"))
+        scratch.free(sets)
+        return found
 
     def links(self) -> DataFrame:
         """(id, component) of the representatives that have links."""
-        scratch, spark = self.scratch, self.docs.sparkSession
+        scratch = self.scratch
         full = scratch.save(self.docs.where("doc_id is not null").mapInArrow(_sketcher(self.k, self.tables), SKETCH))
         reps = scratch.save(full.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")))
         self.members = scratch.save(salted_join(full.where("n > 0").select("id", "key"), reps, "key", "id").select("id", "rep").distinct())
         self.sizes = scratch.save(full.select("id", "n"))
-        self.sketch = scratch.save(full.join(reps.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").select("id", "n", "halves", "sig").dropDuplicates(["id"]))
+        self.sketch = scratch.save(full.join(reps.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"]).select("id", "n", "halves", "sig"))
         scratch.free(full, reps)
         keys = scratch.save(self._keys())
         stars, many = self._stars(keys)
@@ -204,40 +280,16 @@ class NearDedup:
         first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         edges = self._verify(first, sets)
         comp = components(edges, scratch)
-        tested = scratch.save(first)
-
-        def more(pairs: DataFrame, sets: DataFrame | None) -> bool:
-            """Verifies pairs that are new and lie in different components; True if any linked."""
-            nonlocal edges, comp, tested
-            c = lambda x: comp.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-            open_ = pairs.join(tested, ["a", "b"], "left_anti").join(c("a"), "a", "left").join(c("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-            open_ = scratch.save(open_)
-            if open_.isEmpty():
-                return False
-            found = self._verify(open_, sets if sets is not None else self._sets(ids(open_)))
-            tested = scratch.save(tested.union(open_))
-            if found.isEmpty():
-                return False
+        c = lambda x: comp.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+        open_ = candidates.join(first, ["a", "b"], "left_anti").join(c("a"), "a", "left").join(c("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+        found = self._verify(scratch.save(open_.select("a", "b")), sets)
+        if not found.isEmpty():
             edges = scratch.save(edges.union(found))
             comp = components(edges, scratch)
-            return True
-
-        more(candidates, sets)
         scratch.free(sets)
-        level = many
-        for depth in range(3):
-            apart = scratch.save(self._apart(level, comp))
-            if apart.isEmpty():
-                break
-            more(self._agree(self._across(apart.where(F.col("n") <= PAIRWISE))), None)
-            hot = apart.where(F.col("n") > PAIRWISE).select("key", "id")
-            # A similar pair of a large bucket shares other table keys too: split by a second one.
-            second = many.select(F.col("key").alias("k2"), "id")
-            level = scratch.save(hot.join(second, "id").where("key <> k2").select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "id").distinct())
-        else:
-            apart = scratch.save(self._apart(level, comp))
-            if not apart.isEmpty():
-                more(self._agree(self._across(apart)), None)
+        apart = scratch.save(self._apart(many, comp))
+        if not apart.isEmpty():
+            comp = components(edges.union(self._within(apart)), scratch)
         return comp
 
     def result(self) -> DataFrame:
