@@ -23,6 +23,12 @@ ARROW = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+#: A join of texts to a few ids drops most texts before they are shuffled, by a Bloom filter of at most 8 MB.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
+}
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -44,7 +50,7 @@ def ship(spark: SparkSession) -> None:
 
 def prepare(spark: SparkSession) -> SparkSession:
     ship(spark)
-    for key, value in ARROW.items():
+    for key, value in (ARROW | BLOOM).items():
         spark.conf.set(key, value)
     return spark
 
@@ -113,6 +119,15 @@ class Scratch:
             pass
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (id), with Spark's Bloom filter of the ids before the shuffle.
+
+    Spark makes that filter for a join side with a condition of its own, hence the column ``named``.
+    """
+    some = scratch.save(ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("named")).distinct())
+    return docs.join(some.where("named = 1").select("doc_id"), "doc_id", "left_semi")
+
+
 SALTS = 16
 
 

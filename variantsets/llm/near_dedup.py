@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, grams, low_words, mix64, partitions, salted_join
+from .common import Scratch, WordHash, grams, low_words, mix64, partitions, salted_join, texts_of
 from .components import components
 
 #: MinHashes in a half-key.
@@ -79,6 +79,8 @@ def _sketcher(k: int, tables: int):
             acc = np.broadcast_to(np.arange(1, 2 * tables + 1, dtype=np.uint64), (len(full), 2 * tables))
             for j in range(HALF):
                 acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) ^ h[:, :, j])
+            # The lowest bit tells the collection.
+            acc = acc & ~np.uint64(1) | (np.arange(2 * tables) >= tables).astype(np.uint64)
             sigs: list[bytes | None] = [None] * len(sets)
             for row, i in zip(bits, full):
                 sigs[i] = row.tobytes()
@@ -203,7 +205,7 @@ class NearDedup:
 
     def _sets(self, ids: DataFrame) -> DataFrame:
         """Full shingle sets of the documents named in ``ids`` (id)."""
-        some = self.docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        some = texts_of(self.docs, ids, self.scratch)
         return self.scratch.save(some.mapInArrow(_setter(self.k), "id long, hashes array<long>"))
 
     def _agree(self, pairs: DataFrame) -> DataFrame:
@@ -225,11 +227,10 @@ class NearDedup:
 
     def _keys(self) -> DataFrame:
         """(key, id): the table keys that can be shared."""
-        m = self.tables
-        half = self.sketch.select("id", F.posexplode("halves").alias("pos", "h"))
+        half = self.sketch.select("id", F.explode("halves").alias("h"))
         shared = half.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-        own = salted_join(half, shared, "h", "id", salts=8).groupBy("id").agg(F.collect_set(F.struct("pos", "h")).alias("s"))
-        u, v = (F.transform(F.filter("s", keep), lambda x: x["h"]) for keep in (lambda x: x["pos"] < m, lambda x: x["pos"] >= m))
+        own = salted_join(half, shared, "h", "id", salts=8).groupBy("id").agg(F.collect_set("h").alias("s"))
+        u, v = F.filter("s", lambda h: h.bitwiseAND(F.lit(1)) == 0), F.filter("s", lambda h: h.bitwiseAND(F.lit(1)) == 1)
         pairs = own.select("id", u.alias("u"), v.alias("v")).where("size(u) > 0 and size(v) > 0")
         return pairs.select("id", F.explode("u").alias("p"), "v").select("id", "p", F.explode("v").alias("q")).select(F.xxhash64("p", "q").alias("key"), "id")
 
