@@ -153,7 +153,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line_dedup")
     marked = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
-    cuts = [int(x) for x in sorted(set(marked.approxQuantile("__id", [k / batches for k in range(1, batches)], 0.01)), reverse=True)]
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted({int(x) for x in marked.approxQuantile("__id", shares, 0.01)}, reverse=True) if shares else []
     part = sum([(F.col("__id") < c).cast("int") for c in cuts], F.lit(0))
     staged = marked.select(F.col("__id").alias("id"), part.alias("part"), "text").mapInArrow(_keys(min_chars), "part int, h binary, id long")
     staged = scratch.save(staged)

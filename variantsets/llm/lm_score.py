@@ -73,12 +73,10 @@ class Symbols:
         """``head``: words and counts, commonest first, END among them."""
         words = [w for w, _ in head if w != END]
         self.own = words[:CLUSTERED]
-        bands = sorted({int(n).bit_length() for w, n in head[len(self.own) :] if w != END})
+        more = [(w, int(n).bit_length()) for w, n in head if w != END][len(self.own) :]
+        bands = sorted({b for _, b in more})
         at = {b: len(self.own) + i for i, b in enumerate(bands)}
-        self.of = {w: i for i, w in enumerate(self.own)}
-        for w, n in head:
-            if w not in self.of and w != END:
-                self.of[w] = at[int(n).bit_length()]
+        self.of = {w: i for i, w in enumerate(self.own)} | {w: at[b] for w, b in more}
         self.rare = len(self.own) + len(bands)
         self.end = self.rare + 1
         self.size = self.end + 1
@@ -118,7 +116,8 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int) -> np.nda
     size = len(pairs)
     fixed = size - words
     k = min(classes, max(1, words))
-    of = np.r_[np.arange(words) % k, k + np.arange(fixed)].astype(np.int64)
+    # The commonest words start in classes of their own, all others together.
+    of = np.r_[np.minimum(np.arange(words), k - 1), k + np.arange(fixed)].astype(np.int64)
     total = k + fixed
     n = np.zeros((total, total))
     np.add.at(n, (of[:, None], of[None, :]), pairs)
@@ -139,7 +138,9 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int) -> np.nda
             d = np.arange(k)
             diag = n[d, d]
             both = _xlogx(diag + to[:k] + frm[:k] + self_) - _xlogx(diag + to[:k]) - _xlogx(diag + frm[:k]) + _xlogx(diag)
-            nr, nl = n.sum(axis=1)[:k], n.sum(axis=0)[:k]
+            # Totals of the words in each class but w; what they share with w counts too.
+            others = np.arange(size) != w
+            nr, nl = (np.bincount(of[others], x[others], total)[:k] for x in (right, left))
             lost = _xlogx(nr + right[w]) - _xlogx(nr) + _xlogx(nl + left[w]) - _xlogx(nl)
             new = int((rows + cols + both - lost).argmax())
             of[w] = new
@@ -156,7 +157,8 @@ class Model:
     """Log10 probabilities: ``move`` of classes and ``emit`` of head words; the rare class is scored by count."""
 
     def __init__(self, head: list[tuple[bytes, int]], symbols: Symbols, pairs: np.ndarray, tokens: int, vocabulary: int, once: int):
-        of = exchange(pairs, len(symbols.own), CLASSES, SWEEPS)
+        # Classes that lost all their words go, lest they keep a share of every transition.
+        of = np.unique(exchange(pairs, len(symbols.own), CLASSES, SWEEPS), return_inverse=True)[1]
         total = int(of.max()) + 1
         n = np.zeros((total, total))
         np.add.at(n, (of[:, None], of[None, :]), pairs)
