@@ -1,8 +1,10 @@
 """Packing token sequences by minimum bin slack.
 
-Texts are tokenised chunk by chunk: no token of this tokenizer spans a blank, so
-the ids of a blank-separated chunk are looked up in a cache of bounded size and
-joined. Whole windows of ``CAPACITY`` tokens are cut off a document's front; the
+This tokenizer splits a text into runs of letters, single digits and runs of other
+marks before it looks at its vocabulary, so the ids of these parts are looked up
+in a cache of bounded size and joined; parts are learnt many at a time, told apart
+by the ends of words that the ids carry. Texts beyond Latin-1, or with special
+tokens, are cut at blanks instead, which no token spans. Whole windows of ``CAPACITY`` tokens are cut off a document's front; the
 rests (at most ``CAPACITY - 1`` tokens) are packed. Only the histogram of their
 lengths, at most ``CAPACITY - 1`` rows whatever the input, goes to the driver.
 There, each window takes the longest rest left and then the multiset of rests
@@ -18,6 +20,7 @@ empty result; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,48 +37,83 @@ CAPACITY = 4096
 END = 2
 BUCKETS = 32
 VOCABULARY = "word_bpe_49k.json"
-#: Bounds of the chunk cache: chunks and characters.
-CACHE_CHUNKS, CACHE_CHARS = 250_000, 8_000_000
+#: Bounds of the cache: parts and bytes.
+CACHE_PARTS, CACHE_BYTES = 500_000, 16_000_000
+#: Parts in a string that is tokenised to learn them.
+LEARN = 200
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+# In Latin-1: capitals to small letters, and the parts by classes of letters, numbers and blanks.
+_LOW = bytes(ord(chr(b).lower()) if len(chr(b).lower()) == 1 and ord(chr(b).lower()) < 256 else b for b in range(256))
+_LETTER, _NUMBER, _BLANK = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\t-\r\x20\x85\xa0"
+_PART = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[" + _LETTER + rb"]+|[" + _NUMBER + rb"]|[^" + _LETTER + _NUMBER + _BLANK + rb"]+")
+
+
 class Encoder:
-    """Token ids of texts by way of a cache of blank-separated chunks."""
+    """Token ids of texts by way of a cache of the parts that the tokenizer takes one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.chars, self.ids, self.first, self.size = 0, array("I"), array("q"), array("q")
-
-    def learn(self, chunks: list[str]) -> None:
+        self.at: dict[bytes | str, int] = {}
+        self.held, self.ids, self.first, self.size = 0, array("I"), array("q"), array("q")
+
+    def _keep(self, key: bytes | str, ids: list[int]) -> None:
+        self.at[key] = len(self.first)
+        self.held += len(key)
+        self.first.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+
+    def learn(self, keys: list[bytes | str]) -> None:
+        chunks = [k for k in keys if isinstance(k, str)]
         for chunk, e in zip(chunks, self.tok.encode_batch(chunks, add_special_tokens=False)):
-            self.at[chunk] = len(self.first)
-            self.chars += len(chunk)
-            self.first.append(len(self.ids))
-            self.size.append(len(e.ids))
-            self.ids.extend(e.ids)
+            self._keep(chunk, e.ids)
+        parts = [k for k in keys if isinstance(k, bytes)]
+        for i in range(0, len(parts), LEARN * 64):
+            some = parts[i : i + LEARN * 64]
+            joined = [b" ".join(some[j : j + LEARN]).decode("latin-1") for j in range(0, len(some), LEARN)]
+            ids = np.concatenate([e.ids for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
+            stops = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            assert len(stops) == len(some)
+            flat, a = ids.tolist(), 0
+            for key, b in zip(some, stops):
+                self._keep(key, flat[a:b])
+                a = b
+
+    @staticmethod
+    def parts(text: str) -> list[bytes] | list[str]:
+        if "<|" not in text:
+            try:
+                return _PART.findall(text.encode("latin-1").translate(_LOW))
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+        if len(self.at) > CACHE_PARTS or self.held > CACHE_BYTES:
             self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        chunks = [c for s in split for c in s]
-        new = set(chunks).difference(self.at)
+        split = [self.parts(t) for t in texts]
+        keys = [k for s in split for k in s]
+        new = set(keys).difference(self.at)
         if new:
             self.learn(list(new))
-        which = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        ids, first, size = (np.frombuffer(x, np.dtype(f"{'u4' if x.typecode == 'I' else 'i8'}")) for x in (self.ids, self.first, self.size))
+        which = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        ids, first, size = (np.frombuffer(x, np.dtype("u4" if x.typecode == "I" else "i8")) if x else np.zeros(0, np.int64) for x in (self.ids, self.first, self.size))
         n = size[which]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat(first[which] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        stops = ends[np.cumsum([len(s) for s in split]) - 1] if split else []
+        ends = np.r_[0, np.cumsum(n)]
+        total = int(ends[-1])
+        flat = ids[np.repeat(first[which] - ends[:-1], n) + np.arange(total)] if total else np.zeros(0, np.uint32)
+        stops = ends[np.cumsum([len(s) for s in split])] if split else []
         out, a = [], 0
         for b in stops:
             out.append(np.append(flat[a:b], np.uint32(END)).astype("<u4"))
