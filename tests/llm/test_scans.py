@@ -255,13 +255,22 @@ def test_sampling_follows_the_lattice():
             acc += p
 
 
-def test_cached_draws_equal_direct_ones():
+def test_ways_of_drawing_agree():
+    """Listed outcomes, arrays over the trie and single steps draw the same pieces for the same numbers."""
     path = public_tokenizers.path(sentencepiece.VOCABULARY)
-    warm, text = sentencepiece.Encoder(path, 1.0, 1), "the cat sat on the mat and the cat ran  away\nthe end ▁ of the line"
-    first = warm(5, text).tolist()
-    assert all(warm(5, text).tolist() == first for _ in range(3)) and sentencepiece.Encoder(path, 1.0, 1)(5, text).tolist() == first
-    long = "z" * 5000 + "☃" * 500
-    assert sentencepiece.decode_ids(warm(1, long).tolist(), warm.pieces) == long
+    enc = sentencepiece.Encoder(path, 1.0, 1)
+    chunks = [" the", " hello", "running", " Éclair", "zqxj", " of", ".", "  x", "a", " internationalisation"]
+    rng = np.random.default_rng(3)
+    which, u = rng.integers(0, len(chunks), 500), rng.random(500)
+    ids, sizes = enc.trie.draw(chunks, which, u)
+    single = [enc.spell(sentencepiece.Lattice(chunks[c], enc.pieces).draw(float(x))) for c, x in zip(which, u)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == single
+    text = "the cat sat on the mat and the cat ran  away\nthe end \u2581 of the line, 12 times "
+    first = enc([5], [text])[0].tolist()
+    assert all(enc([5], [text])[0].tolist() == first for _ in range(30)) and enc.at
+    assert sentencepiece.Encoder(path, 1.0, 1)([7, 5, 8], ["", text, "x"])[1].tolist() == first
+    long = "z" * 5000 + "\u2603" * 500
+    assert sentencepiece.decode_ids(enc([1], [long])[0].tolist(), enc.pieces) == long
 
 
 # --- fingerprints ----------------------------------------------------------

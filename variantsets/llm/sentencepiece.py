@@ -1,15 +1,17 @@
 """SentencePiece encoding by forward filtering and backward sampling, and lossless decoding.
 
-A text with a blank in front is cut where no piece of the vocabulary can reach
-across: after newlines and before runs of blanks. So the piece lattice falls into
-chunks that are independent of each other. Within a chunk, forward filtering sums
-the weights of all segmentations that end at each place; backward sampling then
-draws the last piece, the one before it, and so on. A chunk's draw uses one
-uniform number, made from the row's key, the seed and the chunk's place, spread
-over the steps as in arithmetic decoding. A row's segmentation therefore depends
-on its key and text only, not on partitions, and the outcomes of a chunk are
-intervals of [0, 1): for chunks that occur again they are listed once and looked
-up, which draws exactly what the backward steps would.
+A text with a blank in front is cut where no piece of the vocabulary reaches
+across: between runs of letters, digits and other marks (blanks before a run belong
+to it). So the piece lattice falls into chunks that are independent of each other;
+a vocabulary that has a piece across such a place is cut before blanks only.
+Within a chunk, forward filtering sums the weights of all segmentations that end
+at each place; backward sampling then draws the last piece, the one before it, and
+so on. A chunk's draw uses one uniform number, made from the row's key, the seed
+and the chunk's place, spread over the steps as in arithmetic decoding. A row's
+segmentation therefore depends on its key and text only, not on partitions, and the
+outcomes of a chunk are intervals of [0, 1): for chunks that occur often they are
+listed once and looked up, which draws what the backward steps would. The other
+chunks of a batch are filtered and sampled together, as arrays over a trie.
 
 The vocabulary file orders pieces by merge rank and holds no probabilities; a
 piece of rank r weighs 1 / (r + 2) ** ``alpha``. A character that no piece covers
@@ -26,7 +28,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from functools import lru_cache
+from itertools import pairwise, repeat
 
 import numpy as np
 import public_tokenizers
@@ -39,13 +42,16 @@ from .common import mix64
 
 VOCABULARY = "piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 1
-#: Chunks with more segmentations than this are drawn step by step each time.
-LISTED = 64
-#: Chunks that a task remembers.
-CACHE = 250_000
+#: A chunk is listed when a task has met it so often, if it has at most so many segmentations.
+LISTED = {24: 64, 200: 512}
+#: Chunks that a task counts, and lists.
+COUNTED, CACHE = 500_000, 60_000
+#: Longest piece of the trie, longest chunk and last character that are sampled as arrays.
+REACH, LONG, LAST = 16, 32, 0x17F
 BLANK = "▁"
 
-CHUNK = re.compile(r"\n| *[^ \n]+| +")
+BLANKS = re.compile(r"\n| *[^ \n]+| +")
+RUNS = re.compile(r"\n| *[^\W\d_]+| *\d| *(?:[^\w \n]|_)+| +|.", re.S)
 
 
 class Pieces:
@@ -70,6 +76,87 @@ class Pieces:
                 self.id[plain], self.text[i] = i, plain.encode()
                 self.weight[plain] = (2.0 - model.get_score(i)) ** -alpha if model.get_score(i) > -1e8 else (2.0 + i) ** -alpha
                 self.starts.update(plain[:k] for k in range(1, len(plain) + 1))
+        across = any(len(RUNS.findall(p)) > 1 for p in self.id)
+        self.chunk = BLANKS if across else RUNS
+
+
+class Trie:
+    """Pieces of plain characters as a table, and the lattices of many short chunks as arrays."""
+
+    def __init__(self, pieces: Pieces):
+        plain = [p for p in pieces.id if len(p) <= REACH and all(ord(c) <= LAST for c in p)]
+        letters = sorted({p for p in plain if len(p) == 1})
+        self.symbol = np.full(LAST + 1, -1, np.int64)
+        self.symbol[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.cannot = re.compile("[^" + re.escape("".join(letters)) + "]")
+        plain = [p for p in plain if not self.cannot.search(p)]
+        node = {"": 0}
+        for p in plain:
+            for k in range(1, len(p) + 1):
+                node.setdefault(p[:k], len(node))
+        self.next = np.zeros((len(node), len(letters)), np.int32)
+        self.piece = np.full(len(node), -1, np.int32)
+        self.weight = np.zeros(len(node))
+        for p, k in node.items():
+            if p:
+                self.next[node[p[:-1]], self.symbol[ord(p[-1])]] = k
+        for p in plain:
+            self.piece[node[p]], self.weight[node[p]] = pieces.id[p], pieces.weight[p]
+
+    def draw(self, chunks: list[str], which: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of chunks[which], one after the other, and how many each has."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        code = self.symbol[np.frombuffer("".join(chunks).encode("utf-16-le"), "<u2")]
+        ends = np.cumsum(size)
+        chunk = np.repeat(np.arange(len(chunks)), size)
+        # A chunk of n characters has n + 1 places; the place after a character is its index plus its chunk's plus 1.
+        start = np.arange(len(code))
+        stop, node = ends[chunk], np.zeros(len(code), np.int64)
+        shift, hits = chunk + 1, []
+        for n in range(REACH):
+            live = start + n < stop
+            start, stop, node, shift = start[live], stop[live], node[live], shift[live]
+            node = self.next[node, code[start + n]]
+            live = node > 0
+            start, stop, node, shift = start[live], stop[live], node[live], shift[live]
+            if not len(start):
+                break
+            hit = self.piece[node] >= 0
+            if hit.any():
+                hits.append((n, start[hit] + n + shift[hit], node[hit]))
+        reach = hits[-1][0] + 1
+        places = len(code) + len(chunks)
+        # First weights of the pieces that end at a place, then running sums of their shares; the longest piece comes first, as its start does.
+        sums, piece = np.zeros((places, reach)), np.zeros((places, reach), np.int32)
+        for n, at, node in hits:
+            sums[at, reach - 1 - n], piece[at, reach - 1 - n] = self.weight[node], self.piece[node]
+        back = np.arange(reach, 0, -1)
+        total = np.zeros(places)
+        first = ends - size + np.arange(len(chunks))
+        total[first] = 1.0
+        order = np.argsort(-size, kind="stable")
+        longest = size[order]
+        for k in range(1, int(longest[0]) + 1):
+            at = first[order[: np.searchsorted(-longest, -k, "right")]] + k
+            share = np.cumsum(total[at[:, None] - back] * sums[at], axis=1)
+            sums[at] = share
+            total[at] = share[:, -1]
+        at, who, first = (first + size)[which], np.arange(len(which)), first[which]
+        owners, drawn = [], []
+        while len(at):
+            upto = sums[at]
+            x = u * upto[:, -1]
+            pick = np.minimum((upto <= x[:, None]).sum(axis=1), reach - 1)
+            row = np.arange(len(at))
+            below = np.where(pick > 0, upto[row, pick - 1], 0.0)
+            u = np.clip((x - below) / (upto[row, pick] - below), 0.0, 0.9999999999999999)
+            owners.append(who)
+            drawn.append(piece[at, pick])
+            at = at - back[pick]
+            live = at > first[who]
+            at, who, u = at[live], who[live], u[live]
+        owner, last_first = np.concatenate(owners), np.concatenate(drawn)
+        return last_first[::-1][np.argsort(owner[::-1], kind="stable")], np.bincount(owner, minlength=len(which))
 
 
 class Lattice:
@@ -143,13 +230,16 @@ class Lattice:
 
 
 class Encoder:
+    """Sampled ids of the texts of a batch."""
+
     def __init__(self, path: str, alpha: float, seed: int):
         self.pieces, self.seed = Pieces(path, alpha), seed
+        self.trie = Trie(self.pieces)
+        self.met: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}  # listed chunks
-        self.once: dict[str, Lattice | None] = {}  # chunks seen, and the lattices of those with many outcomes
         self.upto, self.first, self.size, self.ids = array("d"), array("q"), array("q"), array("i")
 
     def spell(self, parts: list[str]) -> list[int]:
@@ -162,88 +252,99 @@ class Encoder:
                 out.append(i)
         return out
 
-    def outcome(self, ids: list[int]) -> None:
-        self.first.append(len(self.ids))
-        self.size.append(len(ids))
-        self.ids.extend(ids)
-
     def enlist(self, chunk: str, outcomes: list[tuple[float, list[str]]]) -> None:
         k, acc = len(self.at), 0.0
         self.at[chunk] = k
         for p, parts in outcomes:
             acc += p
+            ids = self.spell(parts)
             self.upto.append(k + min(acc, 1.0))
-            self.outcome(self.spell(parts))
+            self.first.append(len(self.ids))
+            self.size.append(len(ids))
+            self.ids.extend(ids)
         self.upto[-1] = k + 1.0
 
-    def learn(self, chunks: list[str]) -> None:
-        """Lists chunks that come a second time."""
-        for c in chunks:
-            if c in self.once:
-                lattice = self.once[c]
-                if lattice is None:
-                    lattice = Lattice(c, self.pieces)
-                    found = lattice.outcomes(LISTED)
+    def count(self, chunks: list[str], times: np.ndarray) -> None:
+        """Lists the chunks that have come often."""
+        met = self.met
+        for c, k in zip(chunks, times.tolist()):
+            before = met.get(c, 0)
+            met[c] = n = before + k
+            for least, most in LISTED.items():
+                if before < least <= n and len(c) <= LONG and c not in self.at and len(self.at) < CACHE:
+                    found = Lattice(c, self.pieces).outcomes(most)
                     if found:
                         self.enlist(c, found)
-                        del self.once[c]
-                    elif len(c) < 64:
-                        self.once[c] = lattice
+        if len(met) > COUNTED:
+            met.clear()
+        if len(self.at) >= CACHE:
+            self.clear()
 
-    def uniform(self, key: int, n: int) -> np.ndarray:
+    def uniform(self, key, n: int) -> np.ndarray:
         base = np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}:{key}"))
         return (mix64(base + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
-    def __call__(self, key, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        chunks = CHUNK.findall(" " + text)
-        get = self.at.get
-        which = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        u = self.uniform(key, len(chunks))
-        odd = np.flatnonzero(which < 0)
-        if len(odd):
-            self.learn([chunks[i] for i in odd])
-            for i in odd:
-                which[i] = get(chunks[i], -1)
-            odd = np.flatnonzero(which < 0)
-        spelled: list[int] = []
-        sizes = []
-        for i in odd:
-            c = chunks[i]
-            lattice = self.once.get(c)
-            if lattice is None:
-                self.once[c] = None
-                lattice = Lattice(c, self.pieces)
-            ids = self.spell(lattice.draw(float(u[i])))
-            spelled += ids
-            sizes.append(len(ids))
-        listed = np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32)
-        first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+    def sample(self, chunks: list[str], which: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of chunks[which]."""
+        cannot = self.trie.cannot.search
+        plain = np.fromiter((len(c) <= LONG and not cannot(c) for c in chunks), bool, len(chunks))
+        if plain.all():
+            return self.trie.draw(chunks, which, u)
+        can = plain[which]
+        size = np.zeros(len(which), np.int64)
+        odd = [self.spell(Lattice(chunks[k], self.pieces).draw(x)) for k, x in zip(which[~can].tolist(), u[~can].tolist())]
+        size[~can] = [len(x) for x in odd]
+        ids = np.zeros(0, np.int32)
+        if can.any():
+            place = np.cumsum(plain) - 1
+            ids, size[can] = self.trie.draw([c for c, ok in zip(chunks, plain) if ok], place[which[can]], u[can])
+        out = np.empty(int(size.sum()), np.int32)
+        mask = np.repeat(can, size)
+        out[mask], out[~mask] = ids, [i for x in odd for i in x]
+        return out, size
+
+    def __call__(self, keys: list, texts: list[str]) -> list[np.ndarray]:
+        split = [self.pieces.chunk.findall(" " + t) if t else [] for t in texts]
+        chunks = [c for s in split for c in s]
+        if not chunks:
+            return [np.zeros(0, np.int32) for _ in texts]
+        u = np.concatenate([self.uniform(k, len(s)) for k, s in zip(keys, split)])
+        which = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
         known = which >= 0
+        first, size = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         if known.any():
-            upto = np.frombuffer(self.upto, np.float64)
-            row = np.searchsorted(upto, which[known] + u[known], "right")
+            row = np.searchsorted(np.frombuffer(self.upto, np.float64), which[known] + u[known], "right")
             first[known], size[known] = np.frombuffer(self.first, np.int64)[row], np.frombuffer(self.size, np.int64)[row]
-        size[odd] = sizes
+        sampled = np.zeros(0, np.int32)
+        rare: dict[str, int] = {}
+        of = np.fromiter((rare.setdefault(chunks[i], len(rare)) for i in np.flatnonzero(~known).tolist()), np.int64)
+        if rare:
+            sampled, size[~known] = self.sample(list(rare), of, u[~known])
         ends = np.cumsum(size)
         out = np.empty(int(ends[-1]), np.int32)
-        starts = ends - size
         mask = np.repeat(known, size)
-        place = np.repeat(first - starts, size) + np.arange(len(out))
-        out[mask] = listed[place[mask]] if known.any() else 0
-        out[~mask] = spelled
-        if len(self.at) + len(self.once) > CACHE:
-            del listed
-            self.clear()
-        return out
+        out[~mask] = sampled
+        if known.any():
+            place = np.repeat(first - (ends - size), size) + np.arange(len(out))
+            out[mask] = np.frombuffer(self.ids, np.int32)[place[mask]]
+        self.count(list(rare), np.bincount(of, minlength=len(rare)))
+        stops = np.r_[0, ends][np.cumsum([len(s) for s in split])]
+        return np.split(out, stops[:-1])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, alpha: float, seed: int) -> Encoder:
+    """One encoder for all tasks of a worker, so that what it has listed stays."""
+    return Encoder(path, alpha, seed)
 
 
 def _encode(path: str, alpha: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, alpha, seed)
+        encode = encoder(path, alpha, seed)
         for batch in batches:
-            ids = [None if t is None else encode(k, t) for k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
+            texts = batch.column("text").to_pylist()
+            ids = encode(batch.column("doc_id").to_pylist(), [t or "" for t in texts])
+            ids = [None if t is None else x for t, x in zip(texts, ids)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _lists(ids)], ["doc_id", "ids"])
 
     return run
