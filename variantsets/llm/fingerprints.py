@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, grams, low_words, mix64, partitions
+from .common import Scratch, WordHash, grams, low_words, mix64, partitions
 
 BINS = 128
 BITS = 8
@@ -130,7 +130,7 @@ def _range_of(x: Column, cuts: list[int]) -> Column:
     return F.greatest(block - 1, F.lit(0)) * size + inside
 
 
-def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
     """A row per document: its fingerprint and its edited text's, and the likeness to that and to the next document."""
     parts = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -140,7 +140,8 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = S
     tops = rows.groupBy("part").agg(F.max(F.struct("id", F.xxhash64("text").alias("h"))).alias("top"))
     line = Window.orderBy("part")  # a row per range
     lowest = F.min("part").over(Window.partitionBy())
-    tops = tops.select("top.*", F.coalesce(F.lead("part").over(line), lowest).alias("to"))
+    # Written, so that Spark knows how small it is and need not shuffle the texts for it.
+    tops = (scratch or Scratch(docs.sparkSession, "fingerprints")).save(tops.select("top.*", F.coalesce(F.lead("part").over(line), lowest).alias("to")))
     hit = (rows["id"] == tops["id"]) & (F.xxhash64(rows["text"]) == tops["h"])
     ghosts = rows.join(tops, hit).select("doc_id", "text", rows["id"], F.col("to").alias("part"), F.lit(True).alias("ghost"))
     all_ = rows.withColumn("ghost", F.lit(False)).select("doc_id", "text", "id", "part", "ghost").unionByName(ghosts.select("doc_id", "text", "id", "part", "ghost"))
