@@ -132,10 +132,13 @@ SALTS = 16
 
 
 def salted_join(rows: DataFrame, few: DataFrame, key: str, salt_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join ``rows`` to ``few`` (one row a key) with the rows of a hot key dealt over ``salts`` tasks."""
+    """Join ``rows`` to ``few`` (one row a key) with the rows of a hot key dealt over ``salts`` tasks.
+
+    Always a merge join: Spark's estimate of ``few`` leaves its copies for each salt out, so it could broadcast too much.
+    """
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def flatten_ids(df: DataFrame, *names: str) -> DataFrame:
