@@ -8,6 +8,7 @@ share, salted joins for hot keys, and the byte-level word rules.
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -35,16 +36,21 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of all executors, once for an application."""
+    """Sends this package to the Python workers of all executors, by the shared folder, once for an application."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="variantsets-py-")) / "variantsets.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    top, held = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(path))
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/variantsets/code-{uuid.uuid4().hex}/variantsets_code.zip")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(held.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(fs.makeQualified(path).toString())
     _SHIPPED.add(app)
 
 
