@@ -12,7 +12,7 @@ more than transitions could ever return, the best path has O, so the chain is
 cut there and only the stretches between are decoded.
 
 Base patterns always report; spans of the tagger are added where they overlap
-none of these. Defined results: a null or empty text has no spans; repeated rows
+none of these and hold a digit. Defined results: a null or empty text has no spans; repeated rows
 give repeated results; an empty table gives an empty result (the tagger is then
 untrained and tags nothing); columns besides doc_id and text are not read, except
 that masking keeps them.
@@ -39,15 +39,20 @@ KINDS = ("assign", "access", "hex", "crf")
 
 #: Most documents with and without a key word that training reads.
 SAMPLE_DOCS = 800
+#: Texts from this length on are not read for training.
+LONG = 20_000
 #: Most windows of each sort taken from them, and tokens on either side.
-WINDOWS, SIDE = 4000, 8
-ROUNDS, RATE, RIDGE, PLAIN = 120, 0.3, 1e-4, 9
+WINDOWS, SIDE = 1500, 6
+#: Windows without a secret from one text, so that they come from many.
+PER_TEXT = 2
+ROUNDS, RATE, RIDGE, PLAIN = 250, 0.1, 1e-5, 9
 MASK = "[SECRET]"
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 B, I, O = 0, 1, 2
 
 _KEYWORD = re.compile(r"passw|secret|token|api_?key|credential|bearer|auth|private", re.I | re.A)
+_DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`,;.()[]{}<>"
 
 
@@ -94,6 +99,8 @@ def shape(body: str) -> list[int]:
         out.append(20)
         if not body.isascii():
             out.append(23)
+        if n >= 12:
+            out.append(25)
         return out
     if not n:
         return [*out, 21]
@@ -148,7 +155,7 @@ def file_features(text: str, tokens: int) -> list[int]:
     return out
 
 
-N_SHAPE, N_NEAR, N_FILE = 25, 7, 5
+N_SHAPE, N_NEAR, N_FILE = 26, 7, 5
 
 
 class Model:
@@ -203,14 +210,15 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
             continue
         tags = tags_of(text, tokens)
         words = [""] * 2 + [m[0] for m in tokens] + [""] * (width + 1)
-        like = [i for i, m in enumerate(tokens) if tags[i] != O or _KEYWORD.search(m[0]) or (len(m[0]) >= 12 and (i % 5 == 0 or any(c.isdigit() for c in m[0])))]
-        plain = range(len(text) % 97, len(tokens), 97)
-        done = -1
+        like = [i for i, m in enumerate(tokens) if tags[i] != O or _KEYWORD.search(m[0]) or len(m[0]) >= 15 or (len(m[0]) >= 12 and any(c.isdigit() for c in m[0]))]
+        plain = range(len(text) % 197, len(tokens), 197)
+        done, few = -1, 0
         for i in sorted({*like, *plain}):
             start = max(0, min(i - SIDE, len(tokens) - width))
             secret = bool((tags[start : start + width] != O).any())
-            if start < done or some[secret] >= WINDOWS or len(tokens) - start < width:
+            if start < done or some[secret] >= WINDOWS or len(tokens) - start < width or few >= PER_TEXT and not secret:
                 continue
+            few += not secret
             done = start + width
             some[secret] += 1
             near = _rows([nearby(w, w.strip(_EDGE)) for w in words[start : start + width + 3]], N_NEAR)
@@ -222,7 +230,7 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def train(texts: list[str]) -> Model:
-    """Maximum likelihood with a ridge, by AdaGrad on the whole sample; the gradient by forward-backward."""
+    """Maximum likelihood with a ridge, by Adam on the whole sample; the gradient by forward-backward."""
     model = Model()
     data = windows(texts)
     if data is None:
@@ -234,10 +242,10 @@ def train(texts: list[str]) -> Model:
     secret = (y != O).any(axis=1)
     weight = np.where(secret, n / max(1, secret.sum()), PLAIN * n / max(1, (~secret).sum())) / (1 + PLAIN)
     w, move = np.zeros((dim, 3)), np.zeros((3, 3))
-    sw, sm = np.full_like(w, 1e-6), np.full_like(move, 1e-6)
+    moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (w, move)]
     flat = x.reshape(-1, dim)
     seen_moves = np.einsum("n,nti,ntj->ij", weight, hot[:, :-1], hot[:, 1:]) / n
-    for _ in range(ROUNDS):
+    for k in range(1, ROUNDS + 1):
         e = (flat @ w).reshape(n, width, 3)
         fwd, bwd = np.empty_like(e), np.zeros_like(e)
         fwd[:, 0] = e[:, 0]
@@ -250,10 +258,10 @@ def train(texts: list[str]) -> Model:
         gw = flat.T @ ((hot - p) * weight[:, None, None]).reshape(-1, 3) / n - RIDGE * w
         pairs = np.exp(fwd[:, :-1, :, None] + move + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
         gm = seen_moves - np.einsum("n,ntij->ij", weight, pairs) / n - RIDGE * move
-        sw += gw * gw
-        sm += gm * gm
-        w += RATE * gw / np.sqrt(sw)
-        move += RATE * gm / np.sqrt(sm)
+        for v, g, (mean, square) in zip((w, move), (gw, gm), moments):
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            v += RATE * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     at = 0
     for name, k in Model.PARTS:
         setattr(model, name, w[at : at + k].copy())
@@ -263,15 +271,17 @@ def train(texts: list[str]) -> Model:
 
 
 def sample(docs: DataFrame, limit: int = SAMPLE_DOCS) -> list[str]:
-    """At most ``limit`` texts with a key word and as many others, by least hash of doc_id."""
+    """At most ``limit`` texts with a key word and as many others, by least hash; no more than about those leave their tasks."""
     text = F.col("text")
     worded = text.contains("AKIA") | text.contains("password") | text.contains("token") | text.contains("secret") | text.contains("api_key")
-    order = F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")
-    rows = docs.where(worded & (F.length(text) < 20000)).orderBy(*order).select("text").limit(limit).collect()
-    total = docs.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total))) < limit
-    rows += docs.where(share & ~worded & (F.length(text) < 20000)).orderBy(*order).select("text").limit(limit).collect()
-    return [r["text"] for r in rows]
+    some = docs.where(F.length(text) < LONG).select("text", worded.alias("worded"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)).alias("place"))
+    sizes = {r["worded"]: r["count"] for r in some.groupBy("worded").count().collect()}
+    out = []
+    for kind in (True, False):
+        share = 1.2 * limit / max(1, sizes.get(kind, 0))
+        rows = some.where((F.col("worded") == kind) & (F.col("place") < int(min(1.0, share) * (1 << 32)))).collect()
+        out += [r["text"] for r in sorted(rows, key=lambda r: (r["place"], r["text"]))[:limit]]
+    return out
 
 
 # --- decoding --------------------------------------------------------------
@@ -376,7 +386,7 @@ class Tagger:
                 a += 1
             while a < b and text[b - 1] in _EDGE:
                 b -= 1
-            if a < b:
+            if _DIGIT.search(text, a, b):
                 out.append((a, 3, b, a, b))
             i = j
         return out
