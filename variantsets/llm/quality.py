@@ -128,9 +128,14 @@ def _factor(params: DataFrame) -> DataFrame:
     return out.select("g", *M, *L.values())
 
 
-def _concentrate(d2: DataFrame, consistency: float) -> DataFrame:
+def _groups(per_group: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row per group, written as one file: so Spark knows how small it is and need not deal all rows by group to join it."""
+    return scratch.save(per_group.repartition(1))
+
+
+def _concentrate(d2: DataFrame, consistency: float, scratch: Scratch) -> DataFrame:
     """Location and scatter of the h rows of each group with the smallest distances."""
-    cut = d2.groupBy("g").agg(F.percentile_approx("d2", SUBSET, 1000).alias("cut"))
+    cut = _groups(d2.groupBy("g").agg(F.percentile_approx("d2", SUBSET, 1000).alias("cut")), scratch)
     inside = d2.join(cut, "g").where(F.col("d2") <= F.col("cut"))
     cov = [(F.covar_pop(X[i], X[j]) * consistency).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)]
     return _factor(inside.groupBy("g").agg(*[F.avg(X[i]).alias(M[i]) for i in range(DIM)], *cov))
@@ -168,18 +173,18 @@ def quality(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     sizes = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"))
     groups = sizes.select("lang", "source", F.to_json(F.when(F.col("size") >= MIN_GROUP, own).otherwise(lang)).alias("g"), "size")
     pooled = groups.groupBy("g").agg(F.sum("size").alias("pool"))
-    groups = scratch.save(groups.join(pooled, "g").select("lang", "source", F.when(F.col("pool") >= MIN_GROUP, F.col("g")).alias("g")))
+    groups = _groups(groups.join(pooled, "g").select("lang", "source", F.when(F.col("pool") >= MIN_GROUP, F.col("g")).alias("g")), scratch)
     on = [rows[c].eqNullSafe(groups[c]) for c in ("lang", "source")]
     placed = rows.join(groups, on, "left").select("doc_id", *[rows[c] for c in rows.columns if c != "doc_id"], "g", *[c.alias(X[i]) for i, c in enumerate(_features())])
     placed = scratch.save(placed)
     fit = placed.where(F.col("g").isNotNull() & ~F.col("base_failed")).select("g", *X)
-    start = fit.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(m) for x, m in zip(X, M)])
+    start = _groups(fit.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(m) for x, m in zip(X, M)]), scratch)
     around = fit.join(start, "g").groupBy("g").agg(*[F.first(m).alias(m) for m in M], *[F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 1000).alias(f"s{i}") for i, (x, m) in enumerate(zip(X, M))])
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i in range(DIM) for j in range(i)]
-    params = scratch.save(_factor(around.select("g", *M, *[(F.col(f"s{i}") * F.col(f"s{i}") * 2.2).alias(f"c{i}{i}") for i in range(DIM)], *zero)))
+    params = _groups(_factor(around.select("g", *M, *[(F.col(f"s{i}") * F.col(f"s{i}") * 2.2).alias(f"c{i}{i}") for i in range(DIM)], *zero)), scratch)
     factor = _consistency()
     for _ in range(STEPS):
-        params = scratch.save(_concentrate(_with_distance(fit, params), factor))
+        params = _groups(_concentrate(_with_distance(fit, params), factor, scratch), scratch)
     out = _with_distance(placed, params)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False)))
 
@@ -187,5 +192,5 @@ def quality(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def keep(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    passed = quality(docs, scratch).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    return docs.join(passed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_semi")
+    passed = quality(docs, scratch).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
+    return docs.join(passed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_semi")
