@@ -311,5 +311,5 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that are the least doc_id of their class, all their columns."""
-    kept = near_dedup(docs, k, percent, scratch).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_dedup(docs, k, percent, scratch).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
