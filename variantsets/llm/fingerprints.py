@@ -145,5 +145,5 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = S
     hit = (rows["id"] == tops["id"]) & (F.xxhash64(rows["text"]) == tops["h"])
     ghosts = rows.join(tops, hit).select("doc_id", "text", rows["id"], F.col("to").alias("part"), F.lit(True).alias("ghost"))
     all_ = rows.withColumn("ghost", F.lit(False)).select("doc_id", "text", "id", "part", "ghost").unionByName(ghosts.select("doc_id", "text", "id", "part", "ghost"))
-    dealt = all_.repartition(parts, "part").sortWithinPartitions("part", F.col("ghost").desc(), "id", F.xxhash64("text"))
+    dealt = all_.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.col("ghost").desc(), "id", F.xxhash64("text"))
     return dealt.mapInArrow(_compare(bins, bits, k), SCHEMA)
