@@ -266,10 +266,12 @@ class Encoder:
 
     def count(self, chunks: list[str], times: np.ndarray) -> None:
         """Lists the chunks that have come often."""
-        met = self.met
+        met, first = self.met, min(LISTED)
         for c, k in zip(chunks, times.tolist()):
             before = met.get(c, 0)
             met[c] = n = before + k
+            if n < first:
+                continue
             for least, most in LISTED.items():
                 if before < least <= n and len(c) <= LONG and c not in self.at and len(self.at) < CACHE:
                     found = Lattice(c, self.pieces).outcomes(most)
