@@ -173,3 +173,35 @@ def test_substring_dedup(spark, docs, empty, clashing):
     assert ids(clashing) == ids(docs)
     found = {d for p in ids(docs) for d in p}
     assert {100, 101, 104, 200, -7, 2**60} <= found and not found & set(range(40))
+
+
+def test_substring_dedup_goes_on_after_a_break(spark):
+    """Passages in one order with other words between: all of them are found, each part that is equal enough."""
+    new = iter(range(10**6))
+    w = lambda n: [f"u{next(new)}" for _ in range(n)]
+    one, two, head, copy, left, right = w(300), w(300), w(30), w(300), w(30), w(30)
+    docs = [
+        (0, one + w(100) + two),
+        (1, one + w(200) + two),
+        (2, head + w(60) + copy),
+        (3, head + w(60) + copy),
+        (4, w(60) + left + right + w(60)),
+        (5, w(60) + left + w(13) + right + w(60)),
+    ]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], r["other_id"], r["start_word"], r["end_word"]) for r in got)
+    assert found == [(1, 0, 0, 300), (1, 0, 500, 800), (3, 2, 0, 390), (5, 4, 60, 133)]
+    assert all(r["identity"] >= substring_dedup.IDENTITY for r in got)
+
+
+def test_substring_parts_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        pairs = list(zip(*(np.cumsum(1 + (rng.random(40) < 0.2) * rng.integers(0, 9, 40)).tolist() for _ in "ab")))
+        good = set()
+        for s, e in itertools.combinations_with_replacement(range(40), 2):
+            d = [pairs[e][k] - pairs[s][k] + 1 for k in (0, 1)]
+            if min(d) >= 10 and e - s + 1 >= 0.8 * max(d) - 1e-9:
+                good.add((s, e))
+        want = [(s, e) for s, e in good if not any(a <= s and e <= b and (a, b) != (s, e) for a, b in good)]
+        assert substring_dedup.parts(pairs, 10, 0.8) == sorted(want)
