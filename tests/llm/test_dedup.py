@@ -205,3 +205,25 @@ def test_substring_parts_against_brute_force():
                 good.add((s, e))
         want = [(s, e) for s, e in good if not any(a <= s and e <= b and (a, b) != (s, e) for a, b in good)]
         assert substring_dedup.parts(pairs, 10, 0.8) == sorted(want)
+
+
+def test_substring_dedup_of_common_phrases(spark):
+    """A passage is found though smaller and larger documents hold each of its phrases, or most of it."""
+    new = iter(range(10**6))
+    w = lambda n: [f"u{next(new)}" for _ in range(n)]
+    p, q = w(51), w(51)
+    docs = [(1000 + i, w(40) + p + w(40)) for i in range(2)]
+    docs += [(k + i, p[i : i + substring_dedup.K]) for k in (0, 2000) for i in range(52 - substring_dedup.K)]
+    docs += [(5000, w(40) + q[:49] + w(40)), (7000, w(40) + q[2:] + w(40))] + [(6000 + i, w(40) + q + w(40)) for i in range(2)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")).collect()
+    assert {(*sorted((r["doc_id"], r["other_id"])), r["start_word"], r["end_word"]) for r in got} == {(1000, 1001, 40, 91), (6000, 6001, 40, 91)}
+
+
+def test_longer_runs_of_words():
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 2**63, 120).astype(np.uint64)
+    w[60:112] = w[:52]
+    for n in (substring_dedup.LONG, substring_dedup.LEAST):
+        h = substring_dedup.longer(substring_dedup.grams(w, substring_dedup.K), substring_dedup.K, n)
+        assert len(h) == 120 - n + 1 and len(set(h.tolist())) == len(h) - (52 - n + 1) and (h[60 : 60 + 52 - n + 1] == h[: 52 - n + 1]).all()
+        assert not len(substring_dedup.longer(h[:0], substring_dedup.K, n))
