@@ -227,3 +227,22 @@ def test_longer_runs_of_words():
         h = substring_dedup.longer(substring_dedup.grams(w, substring_dedup.K), substring_dedup.K, n)
         assert len(h) == 120 - n + 1 and len(set(h.tolist())) == len(h) - (52 - n + 1) and (h[60 : 60 + 52 - n + 1] == h[: 52 - n + 1]).all()
         assert not len(substring_dedup.longer(h[:0], substring_dedup.K, n))
+
+
+def test_substring_dedup_of_edited_passages(spark):
+    """Passages of 60 words with changed words: every fifth to every twentieth, evenly or at random places."""
+    rng = np.random.default_rng(2)
+    new = iter(range(10**6))
+    w = lambda n: [f"u{next(new)}" for _ in range(n)]
+    docs = []
+    for k in range(80):
+        p = w(60)
+        every = (5, 8, 10, 20)[k % 4]
+        at = range(every // 2, 60, every) if k % 8 < 4 else rng.choice(np.arange(1, 59), 60 // every, replace=False)
+        edited = list(p)
+        for i in at:
+            edited[i] = next(iter(w(1)))
+        docs += [(2 * k, w(50) + p + w(50)), (2 * k + 1, w(50) + edited + w(50))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")).collect()
+    assert all(r["doc_id"] == r["other_id"] + 1 for r in got) and all(r["identity"] >= substring_dedup.IDENTITY for r in got)
+    assert len({r["doc_id"] for r in got}) >= 76
