@@ -353,6 +353,22 @@ def test_exchange_separates_classes():
     assert len(set(of[:4])) == 1 and len(set(of[4:8])) == 1 and of[0] != of[4]
 
 
+def test_every_head_word_is_placed_by_its_neighbours(spark, monkeypatch):
+    """Words of two kinds that alternate: rarer words fall to the class of their kind, whatever their counts."""
+    monkeypatch.setattr(lm_score, "CLUSTERED", 8)
+    monkeypatch.setattr(lm_score, "CLASSES", 2)
+    rng = np.random.default_rng(4)
+    kind = lambda c: [f"{c}{i}" for i in range(4)] * 40 + [f"{c}{i}" for i in range(4, 40)]
+    texts = [" ".join(x for _ in range(100) for x in (rng.choice(kind("p")), rng.choice(kind("q")))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts) if not lm_score.held_out(i)]
+    counts = Counter(w.encode() for _, t in rows for w in t.split())
+    head = sorted(((w, n) for w, n in counts.items() if n >= 3), key=lambda x: (-x[1], x[0])) + [(b"", len(rows))]
+    symbols = lm_score.Symbols(head)
+    classed = lm_score._classed(spark.createDataFrame(rows, "doc_id long, text string"), symbols)
+    assert set(classed.of) == set(symbols.of) and len(classed.of) > 60
+    assert {(w[:1], c) for w, c in classed.of.items()} == {(b"p", classed.of[b"p0"]), (b"q", classed.of[b"q0"])} and classed.rare == 2
+
+
 def test_model_is_a_distribution():
     head = [(b"a", 50), (b"b", 30), (b"c", 10), (b"", 20)]
     symbols = lm_score.Symbols(sorted(head, key=lambda x: -x[1]))

@@ -4,9 +4,10 @@ P(word | previous word) = P(class | previous class) * P(word | class). Counts of
 words and of neighbouring symbols are gathered from all training documents. The
 ``CLUSTERED`` commonest words are assigned to ``CLASSES`` classes by the exchange
 algorithm, which moves one word at a time to the class that raises the mutual
-information of neighbouring classes most. Other common words (at most ``HEAD``)
-form classes by their count, and all rarer words form one class, in which an
-unseen word has the Good-Turing mass of the words seen once. Transitions are
+information of neighbouring classes most. Every other common word (at most ``HEAD``)
+is then inserted into the class that gains most by its neighbours, which are counted
+by class (words not yet placed by bands of their counts) and gathered by a shuffle.
+All rarer words form one class, in which an unseen word has the Good-Turing mass of the words seen once. Transitions are
 smoothed towards class frequencies. The probabilities of all words seen and one
 unseen word sum to one after every history.
 
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, low_words
+from .common import Scratch, low_words, partitions
 
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts go to executors, at most.
 HEAD = 200_000
-#: Words that the exchange algorithm places, and classes.
+#: Words that are exchanged until none moves, to which the others are added, and classes.
 CLUSTERED, CLASSES, SWEEPS = 800, 32, 3
 #: Weight of class frequencies in a transition, in tokens.
 SMOOTH = 20.0
@@ -107,6 +108,95 @@ def _pairs(shared):
     return run
 
 
+class Classed:
+    """The class of each head word, with the interface of Symbols; none may move."""
+
+    def __init__(self, of: dict[bytes, int]):
+        self.own: list[bytes] = []
+        self.of = of
+        self.rare = max(of.values(), default=-1) + 1
+        self.end = self.rare + 1
+        self.size = self.end + 1
+
+    __call__ = Symbols.__call__
+
+
+def _neighbours(shared):
+    """Classes before and after each head word that is not placed yet: word * 2 * classes + class (+ classes if before)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, of = shared.value
+        total, first = int(of.max()) + 1, len(symbols.own)
+        ids = {w: i for i, w in enumerate(list(symbols.of)[first:])}
+        keys, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["pair", "n"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if held_out(doc):
+                    continue
+                words = low_words(text)
+                w = np.fromiter((ids.get(x, -1) for x in words), np.int64, len(words))
+                c = of[np.r_[symbols.end, symbols(words), symbols.end]]
+                at = np.flatnonzero(w >= 0)
+                base = w[at] * 2 * total
+                keys += [base + c[at + 2], base + total + c[at]]
+                size += 2 * len(at)
+            if size > 4_000_000:
+                yield counted()
+                keys, size = [], 0
+        yield counted()
+
+    return run
+
+
+def insert(to: np.ndarray, frm: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Of the first ``k`` classes, the one whose mutual information with others gains most by each word.
+
+    ``to`` and ``frm``: counts of the classes after and before each word (word, class); ``n``: those of class pairs.
+    """
+    right, left = n.sum(axis=1)[:k], n.sum(axis=0)[:k]
+    f = _xlogx(n)
+    gain = np.empty((len(to), k))
+    for c in range(k):
+        rows = (_xlogx(n[c] + to) - f[c]).sum(axis=1)
+        cols = (_xlogx(n[:, c] + frm) - f[:, c]).sum(axis=1)
+        lost = _xlogx(right[c] + to.sum(axis=1)) - _xlogx(right[c]) + _xlogx(left[c] + frm.sum(axis=1)) - _xlogx(left[c])
+        gain[:, c] = rows + cols - lost
+    return gain.argmax(axis=1)
+
+
+def _inserted(shared):
+    """Rows arrive dealt by word and sorted by pair; a word may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, k = shared.value
+        total = len(n)
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def flush(pairs, counts) -> Iterator[pa.RecordBatch]:
+            words, row = np.unique(pairs // (2 * total), return_inverse=True)
+            for lo in range(0, len(words), 2000):
+                here = (row >= lo) & (row < lo + 2000)
+                seen = np.zeros((min(2000, len(words) - lo), 2 * total))
+                seen[row[here] - lo, pairs[here] % (2 * total)] = counts[here]
+                best = insert(seen[:, :total], seen[:, total:], n, k)
+                yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + 2000]), pa.array(best.astype(np.int32))], ["word", "class"])
+
+        for batch in batches:
+            pairs, counts = (np.r_[x, batch.column(c).to_numpy()] for x, c in ((pairs, "pair"), (counts, "n")))
+            if len(pairs) > 200_000:
+                done = int(np.searchsorted(pairs, pairs[-1] // (2 * total) * 2 * total))
+                yield from flush(pairs[:done], counts[:done])
+                pairs, counts = pairs[done:], counts[done:]
+        yield from flush(pairs, counts)
+
+    return run
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -215,6 +305,34 @@ def _score(shared):
     return run
 
 
+def _pair_counts(some: DataFrame, symbols: Symbols | Classed) -> np.ndarray:
+    shared = some.sparkSession.sparkContext.broadcast([symbols])
+    pairs = np.zeros(symbols.size**2)
+    seen = some.mapInArrow(_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs[seen.column("pair").to_numpy()] = seen.column("n").to_numpy()
+    return pairs.reshape(symbols.size, -1)
+
+
+def _classed(some: DataFrame, symbols: Symbols) -> Classed:
+    """Classes of all head words: the commonest exchanged, each other one inserted by its neighbours."""
+    spark, first = some.sparkSession, len(symbols.own)
+    pairs = _pair_counts(some, symbols)
+    of = np.unique(exchange(pairs, first, CLASSES, SWEEPS), return_inverse=True)[1]
+    total = int(of.max()) + 1
+    k = total - (symbols.size - first)
+    placed = {w: int(of[i]) for i, w in enumerate(symbols.own)}
+    more = list(symbols.of)[first:]
+    if more:
+        n = np.zeros((total, total))
+        np.add.at(n, (of[:, None], of[None, :]), pairs)
+        known, table = spark.sparkContext.broadcast((symbols, of)), spark.sparkContext.broadcast((n, k))
+        near = some.mapInArrow(_neighbours(known), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        dealt = near.repartition(partitions(spark), F.floor(F.col("pair") / F.lit(2 * total))).sortWithinPartitions("pair")
+        best = dealt.mapInArrow(_inserted(table), "word long, class int").toArrow()
+        placed |= {more[w]: c for w, c in zip(best.column("word").to_pylist(), best.column("class").to_pylist())}
+    return Classed(placed)
+
+
 def lm_score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -237,11 +355,8 @@ def lm_score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     found = counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toArrow()
     head = sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     symbols = Symbols(head)
-    shared = spark.sparkContext.broadcast([symbols])
-    pairs = np.zeros(symbols.size**2)
-    seen = some.mapInArrow(_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs[seen.column("pair").to_numpy()] = seen.column("n").to_numpy()
-    model = Model(head, symbols, pairs.reshape(symbols.size, -1), tokens, vocabulary, once)
+    classed = _classed(some, symbols)
+    model = Model(head, classed, _pair_counts(some, classed), tokens, vocabulary, once)
     sent = spark.sparkContext.broadcast([model])
     scored = scratch.save(some.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_score(sent), SCORED))
     rare = scored.where("word is not null").select("uid", "word", F.col("n").alias("times"))
