@@ -81,6 +81,18 @@ def test_tagger_learns_and_generalises():
     assert secrets.train([plain(30)]).untrained()
 
 
+def test_tagger_may_report_letters_only():
+    import random
+
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain = lambda n: " ".join(rng.choice(["alpha", "of", "the", "running", "river.", "Stone,"]) for _ in range(n))
+    texts = [f"{plain(20)} password = {letters(24)} {plain(20)}" for _ in range(60)] + [plain(60) for _ in range(60)]
+    tagger = secrets.Tagger(secrets.train(texts))
+    assert sum(bool(tagger.spans(f"{plain(20)} secret - {letters(26)} {plain(9)}")) for _ in range(20)) >= 18
+    assert not any(tagger.spans(plain(60)) for _ in range(20))
+
+
 # --- licenses --------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ more than transitions could ever return, the best path has O, so the chain is
 cut there and only the stretches between are decoded.
 
 Base patterns always report; spans of the tagger are added where they overlap
-none of these and hold a digit. Defined results: a null or empty text has no spans; repeated rows
+none of these. Defined results: a null or empty text has no spans; repeated rows
 give repeated results; an empty table gives an empty result (the tagger is then
 untrained and tags nothing); columns besides doc_id and text are not read, except
 that masking keeps them.
@@ -52,7 +52,6 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 B, I, O = 0, 1, 2
 
 _KEYWORD = re.compile(r"passw|secret|token|api_?key|credential|bearer|auth|private", re.I | re.A)
-_DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`,;.()[]{}<>"
 
 
@@ -386,7 +385,7 @@ class Tagger:
                 a += 1
             while a < b and text[b - 1] in _EDGE:
                 b -= 1
-            if _DIGIT.search(text, a, b):
+            if a < b:
                 out.append((a, 3, b, a, b))
             i = j
         return out
