@@ -93,6 +93,18 @@ def test_tagger_may_report_letters_only():
     assert not any(tagger.spans(plain(60)) for _ in range(20))
 
 
+def test_rest_of_a_tagged_secret_is_masked():
+    class Tags:
+        def __init__(self, *spans):
+            self.spans = lambda text: [(a, 3, b, a, b) for a, b in spans]
+
+    text = "use sk_live_0123456789abcdef0123ZZZZ and config.password=abcdefghij0123 now"
+    base, spans = secrets.all_spans(text, Tags((4, 36), (41, 71)))
+    assert [s[1] for s in base] == [2, 0] and base == [s for s in spans if s[1] != 3]
+    assert [text[s[0] : s[2]] for s in spans if s[1] == 3] == ["sk_live", "ZZZZ"]
+    assert "ZZZZ" not in secrets.mask_text(text, spans) and "config.password=[SECRET] now" in secrets.mask_text(text, spans)
+
+
 # --- licenses --------------------------------------------------------------
 
 

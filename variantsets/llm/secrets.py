@@ -11,8 +11,8 @@ Decoding is exact but skips plain stretches: where O beats the other tags by
 more than transitions could ever return, the best path has O, so the chain is
 cut there and only the stretches between are decoded.
 
-Base patterns always report; spans of the tagger are added where they overlap
-none of these. Defined results: a null or empty text has no spans; repeated rows
+Base patterns always report; spans of the tagger are added, where they overlap
+these by their parts outside. Defined results: a null or empty text has no spans; repeated rows
 give repeated results; an empty table gives an empty result (the tagger is then
 untrained and tags nothing); columns besides doc_id and text are not read, except
 that masking keeps them.
@@ -395,8 +395,29 @@ def all_spans(text: str, tagger: Tagger | None) -> tuple[list, list]:
     """The base spans, and all spans by start and kind."""
     base = base_spans(text)
     added = tagger.spans(text) if tagger else []
-    free = [s for s in added if all(s[2] <= x[0] or s[0] >= x[2] for x in base)]
-    return base, sorted(base + free)
+    return base, sorted(base + [x for s in added for x in outside(text, s, base)])
+
+
+def outside(text: str, span: tuple, base: list[tuple]) -> list[tuple]:
+    """The parts of a tagger's span that no base span covers, without outer marks; what a key word's name begins with is no part."""
+    if all(span[2] <= x[0] or span[0] >= x[2] for x in base):
+        return [span]
+    out, at, cover = [], span[0], []
+    for x in base:
+        a = x[0]
+        while x[1] == 0 and a > span[0] and text[a - 1] not in " \t\n\x0b\x0c\r":
+            a -= 1
+        cover.append((a, x[2]))
+    for b, e in [*sorted(cover), (span[2], span[2])]:
+        start, stop = at, min(b, span[2])
+        at = max(at, e)
+        while start < stop and not text[start].isalnum():
+            start += 1
+        while start < stop and not text[stop - 1].isalnum():
+            stop -= 1
+        if start < stop:
+            out.append((start, 3, stop, start, stop))
+    return out
 
 
 def mask_text(text: str, spans: list[tuple]) -> str:
