@@ -179,6 +179,23 @@ def test_quality_outliers(spark):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20))
 
 
+def test_quality_moderate_outliers(spark):
+    """A symbol for every word or ten repeated lines stand out from clean documents; one symbol or one repeated line does not."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    words = lambda n: [word() for _ in range(n)]
+    rows = [(i, " ".join(words(rng.randint(60, 400)))) for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "$" for w in words(200))) for i in range(5)]
+    rows += [(1010 + i, " ".join(words(200)) + "\nsame" * 11) for i in range(5)]
+    rows += [(2000 + i, " ".join(words(200)) + " $") for i in range(5)] + [(2010 + i, " ".join(words(200)) + "\nsame" * 2) for i in range(5)]
+    df = spark.createDataFrame([(d, t, "en", "web") for d, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(df).collect()}
+    assert not any(got[1000 + i] or got[1010 + i] for i in range(5))
+    assert all(got[2000 + i] and got[2010 + i] for i in range(5)) and sum(not got[i] for i in range(300)) <= 3
+
+
 def test_quality_is_native(docs):
     plan = quality.quality(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

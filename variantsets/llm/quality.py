@@ -32,12 +32,15 @@ MIN_GROUP = 50
 STEPS = 4
 #: Share of a group's rows in the h-subset.
 SUBSET = 0.75
-#: Squared distance beyond which a document is an outlier: a tail of about
-#: 1e-12 under five normal coordinates, as text statistics have heavier tails.
-CUTOFF = 100.0
+#: Squared distance beyond which a document is an outlier: the 0.999 quantile of
+#: chi-square with five degrees of freedom, raised by the factor by which the
+#: group's own TAIL quantile exceeds that of chi-square, as text statistics have
+#: heavier tails.
+CUTOFF, TAIL, TAIL_VALUE = 20.515, 0.9, 9.236
 #: Least standard deviation of each coordinate, so that a statistic that is
-#: constant within a group cannot make its covariance singular.
-FLOOR = (0.6, 0.12, 0.25, 0.25, 0.25)
+#: constant within a group cannot make its covariance singular: one symbol for
+#: every ten words or one repeated line alone, at log 2, is no outlier.
+FLOOR = (0.3, 0.08, 0.16, 0.16, 0.16)
 DIM = len(FLOOR)
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -186,7 +189,10 @@ def quality(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     for _ in range(STEPS):
         params = _groups(_concentrate(_with_distance(fit, params), factor, scratch), scratch)
     out = _with_distance(placed, params)
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False)))
+    tail = F.percentile_approx("d2", TAIL, 1000) / F.lit(TAIL_VALUE)
+    cuts = _groups(_with_distance(fit, params).groupBy("g").agg((F.greatest(tail, F.lit(1.0)) * CUTOFF).alias("cut")), scratch)
+    out = out.join(cuts, "g", "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > F.col("cut"), F.lit(False)))
 
 
 def keep(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
