@@ -161,24 +161,23 @@ def low_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class WordHash:
     """64-bit hashes of words with a cache of bounded size."""
 
     def __init__(self, limit: int = 400_000):
-        self.cache: dict[bytes, int] = {}
+        self.cache = _Hashes()
         self.limit = limit
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        try:
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in cache:
-                    cache[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
 
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
