@@ -4,8 +4,11 @@ Tokens are maximal runs of non-blank characters, tagged B (a secret begins), I
 (inside) or O. A token's score for a tag sums weights of its own shape, of the
 two tokens before and the one after it, and of the whole file; tag transitions
 have weights too. Weights are trained here by gradient ascent on the likelihood
-of a bounded sample of windows (``SAMPLE_DOCS``, ``WINDOWS``), whose tags come
-from the base patterns, and decoding is by Viterbi over every whole text.
+of a bounded sample: at most ``WINDOWS`` windows of the corpus with and as many without
+a secret by the base patterns, cut out of texts chosen by hash, and windows of the
+latter kind into which made-up secrets or look-alikes are put (``secret_samples``), since
+from the patterns alone a tagger learns no more than these. Decoding is by Viterbi over
+every whole text.
 
 Decoding is exact but skips plain stretches: where O beats the other tags by
 more than transitions could ever return, the best path has O, so the chain is
@@ -14,7 +17,7 @@ cut there and only the stretches between are decoded.
 Base patterns always report; spans of the tagger are added, where they overlap
 these by their parts outside. Defined results: a null or empty text has no spans; repeated rows
 give repeated results; an empty table gives an empty result (the tagger is then
-untrained and tags nothing); columns besides doc_id and text are not read, except
+trained on made-up windows alone); columns besides doc_id and text are not read, except
 that masking keeps them.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -30,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .secret_samples import Maker
+
 #: Base patterns, kind, least length of the reported part: fixed values.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,21 +43,22 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones need not
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Most documents with and without a key word that training reads.
-SAMPLE_DOCS = 800
-#: Texts from this length on are not read for training.
-LONG = 20_000
-#: Most windows of each sort taken from them, and tokens on either side.
+#: Most windows of each sort that training takes from the corpus, and tokens on either side of a window's middle.
 WINDOWS, SIDE = 1500, 6
-#: Windows without a secret from one text, so that they come from many.
-PER_TEXT = 2
-ROUNDS, RATE, RIDGE, PLAIN = 250, 0.1, 1e-5, 9
+#: Windows from one text, so that they come from many, and characters of a token that a window keeps.
+PER_TEXT, CHARS = 2, 400
+#: Made-up windows with a secret, and with a look-alike.
+PLANTED, LOOK_ALIKES = 2000, 2000
+ROUNDS, RATE, RIDGE, PLAIN = 180, 0.15, 1e-5, 4
 MASK = "[SECRET]"
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 B, I, O = 0, 1, 2
 
-_KEYWORD = re.compile(r"passw|secret|token|api_?key|credential|bearer|auth|private", re.I | re.A)
+_KEYWORD = re.compile(r"passw|passphrase|pwd|secret|token|api_?key|credential|bearer", re.I | re.A)
+_NAMED = re.compile(_KEYWORD.pattern + "|auth|private|login|key|access", re.I | re.A)
+_JOINS = {"is", "was", "=", ":", "->", "-", "now", "/"}
+_PREFIX = re.compile(r"[A-Za-z]{2,8}(_[A-Za-z0-9]{1,5})?[_.-](?=[A-Za-z0-9._-]{12})")
 _EDGE = "\"'`,;.()[]{}<>"
 
 
@@ -90,23 +97,35 @@ def shape(body: str) -> list[int]:
     """Indices of the features of the shape of a token without its outer marks."""
     n = len(body)
     out = [0, 1 + min(5, n // 8)]
-    if n >= 12:
-        out.append(14 + min(3, len(set(body)) // 4))
-    if _KEYWORD.search(body):
-        out.append(19)
-    if body.isalpha():
+    plain = body.isalpha()
+    if plain:
         out.append(20)
         if not body.isascii():
             out.append(23)
-        if n >= 12:
-            out.append(25)
+    if _NAMED.search(body) and _KEYWORD.search(body):
+        out.append(19)
+    if plain and n < 12:
         return out
     if not n:
         return [*out, 21]
-    digits = sum(c.isdigit() for c in body)
-    upper = sum("A" <= c <= "Z" for c in body)
-    lower = sum("a" <= c <= "z" for c in body)
+    digits, upper, lower = (sum(map(f, body)) for f in (str.isdigit, str.isupper, str.islower))
     marks = n - digits - upper - lower
+    if n >= 8:
+        out.append(26 + min(3, 8 * (len(_STRETCH.findall(body)) - 1) // n))
+        vowels = len(_VOWEL.findall(body))
+        letters = upper + lower
+        if letters >= 6:
+            out.append(30 + (0 if 6 * vowels < letters else 1 if 4 * vowels < letters else 2))
+        run = max(map(len, _LOWER_RUN.findall(body)), default=0)
+        out.append(33 + (0 if run < 5 else 1 if run < 9 else 2))
+    if n >= 12:
+        out.append(14 + min(3, len(set(body)) // 6))
+        if plain:
+            out.append(25)
+        elif _PREFIX.match(body):
+            out.append(36)
+    if plain:
+        return out
     if digits:
         out.append(7 + min(2, 3 * digits // n))
     if upper and lower and digits:
@@ -123,26 +142,44 @@ def shape(body: str) -> list[int]:
         out.append(22)
     if body.count(".") >= 2:
         out.append(24)
+    if not upper and not lower:
+        out.append(37)
+    if body.count("-") >= 2:
+        out.append(38)
+    if "_" in body:
+        out.append(39)
+    if _URL.search(body):
+        out.append(40 + ("@" in body))
     return out
 
 
+_LOWER_RUN, _DIGIT, _VOWEL = re.compile(r"[a-z]+"), re.compile(r"\d"), re.compile(r"[aeiouyAEIOUY]")
+#: Runs of one kind of character.
+_STRETCH = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
+_URL = re.compile(r"://|^www\.")
+
+
 def nearby(token: str, body: str) -> list[int]:
     """Indices of the features that a token, ``body`` without its outer marks, lends to its neighbours."""
     out = [0]
-    if _KEYWORD.search(body):
-        out.append(1)
+    if _NAMED.search(body):
+        out.append(1 if _KEYWORD.search(body) else 7)
+    if len(token) < 4 and token.lower() in _JOINS:
+        out.append(8)
     if token == body and body.isalpha():
         return out
     if token and not body.strip("=:"):
         out.append(2)
     elif token[-1:] in ("=", ":"):
         out.append(3)
-    if any(c.isdigit() for c in body):
+    if _DIGIT.search(body):
         out.append(4)
     if token[:1] in ("\"", "'"):
         out.append(5)
     if token[-1:] in (".", "!", "?"):
         out.append(6)
+    if token[:5] == "-----" or token[-5:] == "-----":
+        out.append(9)
     return out
 
 
@@ -154,7 +191,7 @@ def file_features(text: str, tokens: int) -> list[int]:
     return out
 
 
-N_SHAPE, N_NEAR, N_FILE = 26, 7, 5
+N_SHAPE, N_NEAR, N_FILE = 42, 10, 5
 
 
 class Model:
@@ -198,43 +235,80 @@ def _rows(indices: list[list[int]], n: int) -> np.ndarray:
     return out
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-    """Design rows (window, place, feature) and tags of windows about secrets, look-alikes and plain tokens."""
-    width = 2 * SIDE + 1
-    xs, ys = [], []
-    some = {True: 0, False: 0}
-    for text in texts:
-        tokens = list(TOKEN.finditer(text))
-        if not tokens:
+WIDTH = 2 * SIDE + 1
+#: The tokens of a window with the two before and the one after it, tags of the window, and features of its file.
+WINDOW = "secret boolean, place long, tokens array<string>, tags array<int>, file array<int>"
+
+
+def windows(text: str, most: int = PER_TEXT, seed: int = 0) -> list[tuple[bool, list[str], list[int], list[int]]]:
+    """At most ``most`` windows of a text with a secret and as many without, at places chosen by ``seed``."""
+    tokens = list(TOKEN.finditer(text))
+    if len(tokens) < WIDTH:
+        return []
+    tags = tags_of(text, tokens)
+    words = [""] * 2 + [m[0] for m in tokens] + [""]
+    like = {i for i, w in enumerate(words[2:-1]) if tags[i] != O or _KEYWORD.search(w) or len(w) >= 15 or (len(w) >= 12 and any(c.isdigit() for c in w))}
+    rng = random.Random(seed)
+    first = sorted(like)
+    rng.shuffle(first)
+    file = file_features(text, len(tokens))
+    out, some, taken = [], {True: 0, False: 0}, set()
+    for i in first + [rng.randrange(len(tokens)) for _ in range(most)]:
+        start = max(0, min(i - SIDE, len(tokens) - WIDTH))
+        secret = bool((tags[start : start + WIDTH] != O).any())
+        # One place in two for plain tokens, so that look-alikes do not take all.
+        if some[secret] >= (most if secret or i not in like else max(1, most // 2)) or any(abs(start - t) < WIDTH for t in taken):
             continue
-        tags = tags_of(text, tokens)
-        words = [""] * 2 + [m[0] for m in tokens] + [""] * (width + 1)
-        like = [i for i, m in enumerate(tokens) if tags[i] != O or _KEYWORD.search(m[0]) or len(m[0]) >= 15 or (len(m[0]) >= 12 and any(c.isdigit() for c in m[0]))]
-        plain = range(len(text) % 197, len(tokens), 197)
-        done, few = -1, 0
-        for i in sorted({*like, *plain}):
-            start = max(0, min(i - SIDE, len(tokens) - width))
-            secret = bool((tags[start : start + width] != O).any())
-            if start < done or some[secret] >= WINDOWS or len(tokens) - start < width or few >= PER_TEXT and not secret:
-                continue
-            few += not secret
-            done = start + width
-            some[secret] += 1
-            near = _rows([nearby(w, w.strip(_EDGE)) for w in words[start : start + width + 3]], N_NEAR)
-            own = _rows([shape(w.strip(_EDGE)) for w in words[start + 2 : start + width + 2]], N_SHAPE)
-            file = np.broadcast_to(_rows([file_features(text, len(tokens))], N_FILE), (width, N_FILE))
-            xs.append(np.hstack([own, near[1 : width + 1], near[:width], near[3 : width + 3], file]).astype(np.float32))
-            ys.append(tags[start : start + width])
-    return (np.stack(xs), np.stack(ys)) if some[True] else None
-
-
-def train(texts: list[str]) -> Model:
-    """Maximum likelihood with a ridge, by Adam on the whole sample; the gradient by forward-backward."""
+        some[secret] += 1
+        taken.add(start)
+        out.append((secret, [w[:CHARS] for w in words[start : start + WIDTH + 3]], tags[start : start + WIDTH].tolist(), file))
+    return out
+
+
+def planted(plain: list[tuple], secrets: int = PLANTED, look_alikes: int = LOOK_ALIKES, seed: int = 1, unseen: bool = False) -> list[tuple]:
+    """Windows into whose middle a made-up secret or look-alike is put in place of as many tokens."""
+    rng = random.Random(seed)
+    maker = Maker(rng, unseen)
+    out = []
+    for k in range(secrets + look_alikes):
+        if plain:
+            _, words, _, file = plain[rng.randrange(len(plain))]
+        else:
+            words, file = [maker.word(1, 3) for _ in range(WIDTH + 3)], [0, 2]
+        put = maker.secret() if k < secrets else maker.innocent()
+        at = rng.randint(0, max(0, WIDTH - len(put)))
+        put = put[: WIDTH - at]
+        words, tags = list(words), [O] * WIDTH
+        words[2 + at : 2 + at + len(put)] = [w for w, _ in put]
+        tags[at : at + len(put)] = [t for _, t in put]
+        if k < secrets or not base_spans(" ".join(words)):
+            out.append((k < secrets, words, tags, file))
+    return out
+
+
+def _design(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Design rows (window, place, feature) and tags."""
+    xs, cache = [], {}
+
+    def of(w: str) -> tuple[np.ndarray, np.ndarray]:
+        if w not in cache:
+            body = w.strip(_EDGE)
+            cache[w] = _rows([nearby(w, body)], N_NEAR)[0], _rows([shape(body)], N_SHAPE)[0]
+        return cache[w]
+
+    for _, words, _, file in rows:
+        pairs = [of(w) for w in words]
+        near, own = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+        files = np.broadcast_to(_rows([file], N_FILE), (WIDTH, N_FILE))
+        xs.append(np.hstack([own[2 : WIDTH + 2], near[1 : WIDTH + 1], near[:WIDTH], near[3 : WIDTH + 3], files]).astype(np.float32))
+    return np.stack(xs), np.array([tags for _, _, tags, _ in rows], np.int64)
+
+
+def train(sampled: list[tuple]) -> Model:
+    """Maximum likelihood with a ridge, by Adam on sampled and made-up windows; the gradient by forward-backward."""
     model = Model()
-    data = windows(texts)
-    if data is None:
-        return model
-    x, y = data
+    rows = sampled + planted([w for w in sampled if not w[0]])
+    x, y = _design(rows)
     n, width, dim = x.shape
     hot = np.eye(3)[y]
     # Windows without secrets weigh PLAIN times as much together as those with: a false alarm spoils a clean text.
@@ -269,17 +343,27 @@ def train(texts: list[str]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, limit: int = SAMPLE_DOCS) -> list[str]:
-    """At most ``limit`` texts with a key word and as many others, by least hash; no more than about those leave their tasks."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(secret, place, words, tags, file) for place, text in zip(*(batch.column(c).to_pylist() for c in ("place", "text"))) for secret, words, tags, file in windows(text, seed=place)]
+        kinds = [pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in WINDOW.split(", ")])
+
+
+def sample(docs: DataFrame, limit: int = WINDOWS) -> list[tuple]:
+    """At most ``limit`` windows with a secret and as many without, of texts by least hash; no more than that leave a task."""
     text = F.col("text")
     worded = text.contains("AKIA") | text.contains("password") | text.contains("token") | text.contains("secret") | text.contains("api_key")
-    some = docs.where(F.length(text) < LONG).select("text", worded.alias("worded"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)).alias("place"))
-    sizes = {r["worded"]: r["count"] for r in some.groupBy("worded").count().collect()}
+    some = docs.where(text.isNotNull()).select("text", worded.alias("worded"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)).alias("place"))
+    # Rows that repeat share a place and count once.
+    sizes = {r["worded"]: r["n"] for r in some.groupBy("worded").agg(F.approx_count_distinct("place").alias("n")).collect()}
+    cut = lambda kind: int(min(1.0, 1.2 * limit / max(1, sizes.get(kind, 0))) * (1 << 32))
+    chosen = some.where(F.col("place") < F.when(F.col("worded"), F.lit(cut(True))).otherwise(F.lit(cut(False)))).select("place", "text")
+    cuts = chosen.mapInArrow(_cut, WINDOW).distinct()
     out = []
     for kind in (True, False):
-        share = 1.2 * limit / max(1, sizes.get(kind, 0))
-        rows = some.where((F.col("worded") == kind) & (F.col("place") < int(min(1.0, share) * (1 << 32)))).collect()
-        out += [r["text"] for r in sorted(rows, key=lambda r: (r["place"], r["text"]))[:limit]]
+        rows = cuts.where(F.col("secret") == kind).orderBy("place", "tokens").limit(limit).collect()
+        out += [(r["secret"], r["tokens"], r["tags"], r["file"]) for r in rows]
     return out
 
 
@@ -287,17 +371,24 @@ def sample(docs: DataFrame, limit: int = SAMPLE_DOCS) -> list[str]:
 
 
 def viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Best tags of one chain with scores ``e`` (place, tag)."""
-    best, back = e[0], np.zeros(e.shape, np.int8)
-    for t in range(1, len(e)):
-        s = best[:, None] + move
-        back[t] = s.argmax(axis=0)
-        best = s.max(axis=0) + e[t]
-    out = np.empty(len(e), np.int8)
-    out[-1] = best.argmax()
-    for t in range(len(e) - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+    """Best tags of one chain with scores ``e`` (place, tag). Chains are short, so plain numbers are faster than arrays."""
+    rows, back = e.tolist(), []
+    (bb, bi, bo), (ib, ii, io), (ob, oi, oo) = move.tolist()
+    x, y, z = rows[0]
+    for p, q, r in rows[1:]:
+        best, whence = [], []
+        for a, b, c in ((x + bb, y + ib, z + ob), (x + bi, y + ii, z + oi), (x + bo, y + io, z + oo)):
+            k = 0 if a >= b and a >= c else 1 if b >= c else 2
+            whence.append(k)
+            best.append((a, b, c)[k])
+        back.append(whence)
+        x, y, z = best[0] + p, best[1] + q, best[2] + r
+    last = 0 if x >= y and x >= z else 1 if y >= z else 2
+    out = [last]
+    for whence in reversed(back):
+        last = whence[last]
+        out.append(last)
+    return np.array(out[::-1], np.int8)
 
 
 class Tagger:
