@@ -49,7 +49,7 @@ WINDOWS, SIDE = 1500, 6
 PER_TEXT, CHARS = 2, 400
 #: Made-up windows with a secret, and with a look-alike.
 PLANTED, LOOK_ALIKES = 2000, 2000
-ROUNDS, RATE, RIDGE, PLAIN = 180, 0.15, 1e-5, 4
+ROUNDS, RATE, RIDGE, PLAIN = 180, 0.15, 1e-5, 8
 MASK = "[SECRET]"
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -247,7 +247,7 @@ def windows(text: str, most: int = PER_TEXT, seed: int = 0) -> list[tuple[bool,
         return []
     tags = tags_of(text, tokens)
     words = [""] * 2 + [m[0] for m in tokens] + [""]
-    like = {i for i, w in enumerate(words[2:-1]) if tags[i] != O or _KEYWORD.search(w) or len(w) >= 15 or (len(w) >= 12 and any(c.isdigit() for c in w))}
+    like = {i for i, w in enumerate(words[2:-1]) if tags[i] != O or len(w) >= 12 or _KEYWORD.search(w)}
     rng = random.Random(seed)
     first = sorted(like)
     rng.shuffle(first)
