@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from variantsets.llm import fingerprints, licenses, lm_score, packing, quality, secrets, sentencepiece
+from variantsets.llm.common import Scratch
 from variantsets.llm.secret_samples import Maker
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -424,29 +425,79 @@ def test_exchange_separates_classes():
     assert len(set(of[:4])) == 1 and len(set(of[4:8])) == 1 and of[0] != of[4]
 
 
-def test_every_head_word_is_placed_by_its_neighbours(spark, monkeypatch):
-    """Words of two kinds that alternate: rarer words fall to the class of their kind, whatever their counts."""
-    monkeypatch.setattr(lm_score, "CLUSTERED", 8)
-    monkeypatch.setattr(lm_score, "CLASSES", 2)
+def alternating(words=40, texts=150):
+    """Texts in which words of two kinds alternate."""
     rng = np.random.default_rng(4)
-    kind = lambda c: [f"{c}{i}" for i in range(4)] * 40 + [f"{c}{i}" for i in range(4, 40)]
-    texts = [" ".join(x for _ in range(100) for x in (rng.choice(kind("p")), rng.choice(kind("q")))) for _ in range(150)]
-    rows = [(i, t) for i, t in enumerate(texts) if not lm_score.held_out(i)]
+    kind = lambda c: [f"{c}{i}" for i in range(4)] * 40 + [f"{c}{i}" for i in range(4, words)]
+    return [" ".join(x for _ in range(100) for x in (rng.choice(kind("p")), rng.choice(kind("q")))) for _ in range(texts)]
+
+
+def test_every_head_word_is_exchanged(spark, monkeypatch):
+    """Rarer words fall to the class of their kind, whatever their counts."""
+    monkeypatch.setattr(lm_score, "SEEDED", 8)
+    monkeypatch.setattr(lm_score, "CLASSES", 2)
+    rows = [(i, t) for i, t in enumerate(alternating()) if not lm_score.held_out(i)]
     counts = Counter(w.encode() for _, t in rows for w in t.split())
-    head = sorted(((w, n) for w, n in counts.items() if n >= 3), key=lambda x: (-x[1], x[0])) + [(b"", len(rows))]
-    symbols = lm_score.Symbols(head)
-    classed = lm_score._classed(spark.createDataFrame(rows, "doc_id long, text string"), symbols)
-    assert set(classed.of) == set(symbols.of) and len(classed.of) > 60
-    assert {(w[:1], c) for w, c in classed.of.items()} == {(b"p", classed.of[b"p0"]), (b"q", classed.of[b"q0"])} and classed.rare == 2
+    head = sorted(((w, n) for w, n in counts.items() if n >= 3), key=lambda x: (-x[1], x[0]))
+    ids = {w: i for i, (w, _) in enumerate(head)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    symbols = frame.mapInArrow(lm_score._symbols(spark.sparkContext.broadcast([ids])), "symbols binary")
+    of, n = lm_score.classes(symbols, np.array([c for _, c in head], float), Scratch(spark, "test"))
+    assert len(of) == len(head) + 2 > 60 and len(n) == 4
+    kinds = {(w[:1], int(of[i])) for w, i in ids.items()}
+    assert len(kinds) == 2 and len({c for _, c in kinds}) == 2
+    want = np.zeros((4, 4))
+    for _, t in rows:
+        s = [of[-1], *(of[ids.get(w.encode(), len(ids))] for w in t.split()), of[-1]]
+        np.add.at(want, (s[:-1], s[1:]), 1)
+    assert (n == want).all()
+
+
+def test_moves_raise_information():
+    """The class found for a word taken out of its own is the one that brute force finds, but where words follow themselves."""
+    rng = np.random.default_rng(2)
+    same = 0
+    for case in range(60):
+        size, k = 14, 3
+        pairs = rng.poisson(rng.gamma(0.3, 10, (size, size))).astype(float)
+        np.fill_diagonal(pairs, 0)
+        of = np.r_[rng.integers(0, k, size - 2), k, k + 1]
+        of[:k] = range(k)
+        total = k + 2
+        table = lambda o: np.array([[pairs[np.ix_(o == a, o == b)].sum() for b in range(total)] for a in range(total)])
+        w = int(rng.integers(k, size - 2))
+        to, frm = np.bincount(of, pairs[w], total), np.bincount(of, pairs[:, w], total)
+        seen = np.r_[to, frm].astype(np.int64)
+        at = np.flatnonzero(seen)
+        best = lm_score.moved(np.zeros(len(at), np.int64), at, seen[at], of[[w]], table(of), k)[0]
+        values = [lm_score.information(table(np.where(np.arange(size) == w, c, of))) for c in range(k)]
+        same += values[best] >= max(values) - 0.02 * (max(values) - min(values)) - 1e-9
+    assert same >= 54
+
+
+def test_perplexity_of_held_out_texts(spark, monkeypatch):
+    """Exchange over all head words scores unseen texts better than with the first words only, and both better than words without history."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def perplexity(column="score"):
+        r = lm_score.lm_score(docs).where("held_out").agg(F.sum(column), F.sum("n_tokens")).first()
+        return 10 ** (-r[0] / r[1])
+
+    whole = perplexity()
+    plain = perplexity("base_score")
+    monkeypatch.setattr(lm_score, "SWEEPS", 1)
+    once = perplexity()
+    assert whole <= once * 1.001 and whole < 0.75 * plain
+    print(whole, once, plain)
 
 
 def test_model_is_a_distribution():
-    head = [(b"a", 50), (b"b", 30), (b"c", 10), (b"", 20)]
-    symbols = lm_score.Symbols(sorted(head, key=lambda x: -x[1]))
+    head = [(b"a", 50), (b"b", 30), (b"", 20), (b"c", 10)]
     rng = np.random.default_rng(0)
-    pairs = rng.integers(0, 9, (symbols.size, symbols.size)).astype(float)
-    m = lm_score.Model(sorted(head, key=lambda x: -x[1]), symbols, pairs, tokens=120, vocabulary=9, once=4)
-    end, rare = m.class_of[m.end], m.class_of[symbols.rare]
+    of = np.array([0, 1, 0, 2, 3])
+    n = rng.integers(0, 9, (4, 4)).astype(float)
+    m = lm_score.Model(head, of, n, tokens=120, vocabulary=9, once=4)
+    rare, end = m.class_of[-2:]
     for history in range(len(m.move)):
-        p = sum(10 ** (m.move[history, m.class_of[m.symbol[i]]] + m.emit[i]) for i in m.ids.values())
+        p = sum(10 ** (m.move[history, m.class_of[i]] + m.emit[i]) for i in m.ids.values())
         assert p + 10 ** m.move[history, end] + 10 ** m.move[history, rare] == pytest.approx(1.0)

@@ -1,13 +1,17 @@
 """LM scoring by Brown class-based bigrams.
 
 P(word | previous word) = P(class | previous class) * P(word | class). Counts of
-words and of neighbouring symbols are gathered from all training documents. The
-``CLUSTERED`` commonest words are assigned to ``CLASSES`` classes by the exchange
-algorithm, which moves one word at a time to the class that raises the mutual
-information of neighbouring classes most. Every other common word (at most ``HEAD``)
-is then inserted into the class that gains most by its neighbours, which are counted
-by class (words not yet placed by bands of their counts) and gathered by a shuffle.
-All rarer words form one class, in which an unseen word has the Good-Turing mass of the words seen once. Transitions are
+words and of neighbouring symbols are gathered from all training documents. Classes
+come from the exchange algorithm, which moves words to the class that raises the
+mutual information of neighbouring classes most. The ``SEEDED`` commonest words are
+exchanged one at a time on the driver until none moves; from there, all common
+words (at most ``HEAD``) are exchanged in sweeps: the classes before and after each
+word are counted by the tasks, each word is taken out of its class and put into the one that
+gains most, all words of a sweep at once, as in distributed word clustering. Before the first
+sweep, words that have no class yet stand in bands of their counts. The sweeps end
+when the mutual information of the whole corpus rises by less than ``GAIN``, or after ``SWEEPS``;
+the best classes stay. All rarer words form one class, in which an unseen word has the
+Good-Turing mass of the words seen once. Transitions are
 smoothed towards class frequencies. The probabilities of all words seen and one
 unseen word sum to one after every history.
 
@@ -37,8 +41,10 @@ from .common import Scratch, low_words, partitions
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts go to executors, at most.
 HEAD = 200_000
-#: Words that are exchanged until none moves, to which the others are added, and classes.
-CLUSTERED, CLASSES, SWEEPS = 800, 32, 3
+#: Words that are exchanged one at a time to begin with, sweeps over these, and classes.
+SEEDED, SEED_SWEEPS, CLASSES = 800, 3, 64
+#: Sweeps over all head words, and the least rise of mutual information (a share of it) for which another is made.
+SWEEPS, GAIN = 4, 0.005
 #: Weight of class frequencies in a transition, in tokens.
 SMOOTH = 20.0
 #: Distinct words that a task counts before it hands its counts on.
@@ -67,39 +73,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(counts)
 
 
-class Symbols:
-    """The symbol of each word: itself where clustered, else its count's band, else the rare class."""
+def _symbols(shared):
+    """The symbols of each training text with the end after it; numbers of head words, then rare and end."""
 
-    def __init__(self, head: list[tuple[bytes, int]]):
-        """``head``: words and counts, commonest first, END among them."""
-        words = [w for w, _ in head if w != END]
-        self.own = words[:CLUSTERED]
-        more = [(w, int(n).bit_length()) for w, n in head if w != END][len(self.own) :]
-        bands = sorted({b for _, b in more})
-        at = {b: len(self.own) + i for i, b in enumerate(bands)}
-        self.of = {w: i for i, w in enumerate(self.own)} | {w: at[b] for w, b in more}
-        self.rare = len(self.own) + len(bands)
-        self.end = self.rare + 1
-        self.size = self.end + 1
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        get, rare = self.of.get, self.rare
-        return np.fromiter((get(w, rare) for w in words), np.int64, len(words))
-
-
-def _pairs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols: Symbols = shared.value[0]
-        size = symbols.size
-        seen = np.zeros(size * size, np.int64)
+        ids: dict[bytes, int] = shared.value[0]
+        get, rare = ids.get, len(ids)
         for batch in batches:
             parts = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if not held_out(doc):
-                    parts.append(np.r_[symbols(low_words(text)), symbols.end])
+                    words = low_words(text)
+                    parts.append(np.fromiter((get(w, rare) for w in words), np.int32, len(words)))
+                    parts.append(np.array([rare + 1], np.int32))
             if parts:
-                s = np.concatenate(parts)
-                seen += np.bincount(np.r_[symbols.end, s[:-1]] * size + s, minlength=size * size)
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).tobytes()], pa.binary())], ["symbols"])
+
+    return run
+
+
+def _streams(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """Symbols of many texts, each with the end before and after it."""
+    for batch in batches:
+        held = [np.frombuffer(x, np.int32) for x in batch.column("symbols").to_pylist()]
+        yield np.concatenate([np.array([end], np.int32), *held])
+
+
+def _pairs(shared):
+    """How often a class stands after another, for classes of symbols sent to the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, size = shared.value
+        seen = np.zeros(size * size, np.int64)
+        for s in _streams(batches, len(of) - 1):
+            c = of[s]
+            seen += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
         at = np.flatnonzero(seen)
         for i in range(0, len(at), 100_000):
             k = at[i : i + 100_000]
@@ -108,91 +116,135 @@ def _pairs(shared):
     return run
 
 
-class Classed:
-    """The class of each head word, with the interface of Symbols; none may move."""
+#: Classes after a word (their numbers) and before it (``total`` more), with counts.
+ENTRY = np.dtype([("column", "<u2"), ("n", "<u8")])
+NEAR = "word long, entries binary"
 
-    def __init__(self, of: dict[bytes, int]):
-        self.own: list[bytes] = []
-        self.of = of
-        self.rare = max(of.values(), default=-1) + 1
-        self.end = self.rare + 1
-        self.size = self.end + 1
 
-    __call__ = Symbols.__call__
+def _near_rows(words: np.ndarray, columns: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per word of entries sorted by word."""
+    entries = np.empty(len(n), ENTRY)
+    entries["column"], entries["n"] = columns, n
+    start = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    for i in range(0, len(start), 20_000):
+        here = start[i : i + 20_000]
+        stop = start[i + 20_000] if i + 20_000 < len(start) else len(words)
+        offsets = (np.r_[here, stop] - here[0]).astype(np.int32) * ENTRY.itemsize
+        buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries[here[0] : stop].tobytes())]
+        yield pa.RecordBatch.from_arrays([pa.array(words[here].astype(np.int64)), pa.BinaryArray.from_buffers(pa.binary(), len(here), buffers)], ["word", "entries"])
 
 
 def _neighbours(shared):
-    """Classes before and after each head word that is not placed yet: word * 2 * classes + class (+ classes if before)."""
+    """Counts of the classes after and before each symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = shared.value
+        seen = np.zeros(len(of) * 2 * total, np.int32)
+        for s in _streams(batches, len(of) - 1):
+            for i in range(0, len(s) - 1, 2_000_000):
+                t = s[i : i + 2_000_001]
+                c, base = of[t], t.astype(np.int64) * (2 * total)
+                np.add.at(seen, base[:-1] + c[1:], 1)
+                np.add.at(seen, base[1:] + total + c[:-1], 1)
+        at = np.flatnonzero(seen)
+        if len(at):
+            yield from _near_rows(at // (2 * total), at % (2 * total), seen[at].astype(np.int64))
+
+    return run
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, column and count of each entry of a batch."""
+    held = batch.column("entries").to_pylist()
+    e = np.frombuffer(b"".join(held), ENTRY)
+    words = np.repeat(batch.column("word").to_numpy(), [len(x) // ENTRY.itemsize for x in held])
+    return words, e["column"].astype(np.int64), e["n"].astype(np.int64)
+
+
+def _added(total: int):
+    """Entries of all tasks added up by word; a word's rows are in one task, and there are at most HEAD words in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, of = shared.value
-        total, first = int(of.max()) + 1, len(symbols.own)
-        ids = {w: i for i, w in enumerate(list(symbols.of)[first:])}
-        keys, size = [], 0
+        keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
-        def counted() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["pair", "n"])
+        def add_up() -> None:
+            nonlocal keys, counts, size
+            k, n = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k, kind="stable")
+            k, n = k[order], n[order]
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+            keys, counts, size = [k[start]], [np.add.reduceat(n, start) if len(k) else n], 0
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if held_out(doc):
-                    continue
-                words = low_words(text)
-                w = np.fromiter((ids.get(x, -1) for x in words), np.int64, len(words))
-                c = of[np.r_[symbols.end, symbols(words), symbols.end]]
-                at = np.flatnonzero(w >= 0)
-                base = w[at] * 2 * total
-                keys += [base + c[at + 2], base + total + c[at]]
-                size += 2 * len(at)
+            words, columns, n = _entries(batch)
+            keys.append(words * 2 * total + columns)
+            counts.append(n)
+            size += len(n)
             if size > 4_000_000:
-                yield counted()
-                keys, size = [], 0
-        yield counted()
+                add_up()
+        add_up()
+        if len(keys[0]):
+            yield from _near_rows(keys[0] // (2 * total), keys[0] % (2 * total), counts[0])
 
     return run
 
 
-def insert(to: np.ndarray, frm: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Of the first ``k`` classes, the one whose mutual information with others gains most by each word.
+def _class_pairs(shared):
+    """How often a class stands after another, from the classes after each word."""
 
-    ``to`` and ``frm``: counts of the classes after and before each word (word, class); ``n``: those of class pairs.
-    """
-    right, left = n.sum(axis=1)[:k], n.sum(axis=0)[:k]
-    f = _xlogx(n)
-    gain = np.empty((len(to), k))
-    for c in range(k):
-        rows = (_xlogx(n[c] + to) - f[c]).sum(axis=1)
-        cols = (_xlogx(n[:, c] + frm) - f[:, c]).sum(axis=1)
-        lost = _xlogx(right[c] + to.sum(axis=1)) - _xlogx(right[c]) + _xlogx(left[c] + frm.sum(axis=1)) - _xlogx(left[c])
-        gain[:, c] = rows + cols - lost
-    return gain.argmax(axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = shared.value
+        seen = np.zeros(total * total, np.int64)
+        for batch in batches:
+            words, columns, n = _entries(batch)
+            after = columns < total
+            np.add.at(seen, of[words[after]] * total + columns[after], n[after])
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["pair", "n"])
 
+    return run
 
-def _inserted(shared):
-    """Rows arrive dealt by word and sorted by pair; a word may span batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, k = shared.value
-        total = len(n)
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def moved(word: np.ndarray, column: np.ndarray, count: np.ndarray, old: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Best of the first ``k`` classes for each word, taken out of its class ``old``; entries are sorted by word and number words from 0.
 
-        def flush(pairs, counts) -> Iterator[pa.RecordBatch]:
-            words, row = np.unique(pairs // (2 * total), return_inverse=True)
-            for lo in range(0, len(words), 2000):
-                here = (row >= lo) & (row < lo + 2000)
-                seen = np.zeros((min(2000, len(words) - lo), 2 * total))
-                seen[row[here] - lo, pairs[here] % (2 * total)] = counts[here]
-                best = insert(seen[:, :total], seen[:, total:], n, k)
-                yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + 2000]), pa.array(best.astype(np.int32))], ["word", "class"])
+    Sums run over the classes next to a word only, as all other cells of ``n`` stay as they are.
+    """
+    total, words = len(n), len(old)
+    gain = np.zeros((words, k))
+    right, left = n.sum(axis=1), n.sum(axis=0)
+    d = np.arange(k)
+    for side, table, sums in ((0, n, right), (1, n.T, left)):
+        here = (column >= total) == bool(side)
+        w, c, x = word[here], column[here] - side * total, count[here].astype(np.float64)
+        # What the word has with its own class, on the other side: taken out of the cells of that class.
+        other = np.zeros((words, total))
+        there = (column >= total) != bool(side)
+        other[word[there], column[there] - (1 - side) * total] = count[there]
+        for i in range(0, len(w), 20_000):
+            wi, ci, xi = w[i : i + 20_000], c[i : i + 20_000], x[i : i + 20_000, None]
+            cells = table[:k, ci].T.copy()  # (entry, class): what stands in the cell that the entry is added to
+            own = d == old[wi][:, None]
+            cells -= own * xi
+            at_old = ci == old[wi]
+            cells[at_old] -= other[wi[at_old]][:, :k]
+            cells = np.maximum(cells, 0)
+            np.add.at(gain, wi, _xlogx(cells + xi) - _xlogx(cells))
+        size = np.bincount(w, x, words)[:, None]
+        rest = np.maximum(sums[:k] - (d == old[:, None]) * size, 0)
+        gain -= _xlogx(rest + size) - _xlogx(rest)
+    return gain.argmax(axis=1)
 
+
+def _moved(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, n, k = shared.value
         for batch in batches:
-            pairs, counts = (np.r_[x, batch.column(c).to_numpy()] for x, c in ((pairs, "pair"), (counts, "n")))
-            if len(pairs) > 200_000:
-                done = int(np.searchsorted(pairs, pairs[-1] // (2 * total) * 2 * total))
-                yield from flush(pairs[:done], counts[:done])
-                pairs, counts = pairs[done:], counts[done:]
-        yield from flush(pairs, counts)
+            words, columns, counts = _entries(batch)
+            names, number = np.unique(words, return_inverse=True)
+            keep = names < len(of) - 2
+            best = moved(number, columns, counts, of[names], n, k)
+            yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(best[keep].astype(np.int32))], ["word", "class"])
 
     return run
 
@@ -243,31 +295,30 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int) -> np.nda
     return of
 
 
+def information(n: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, times their number."""
+    return float(_xlogx(n).sum() - _xlogx(n.sum(axis=1)).sum() - _xlogx(n.sum(axis=0)).sum() + _xlogx(np.array([n.sum()]))[0])
+
+
 class Model:
     """Log10 probabilities: ``move`` of classes and ``emit`` of head words; the rare class is scored by count."""
 
-    def __init__(self, head: list[tuple[bytes, int]], symbols: Symbols, pairs: np.ndarray, tokens: int, vocabulary: int, once: int):
-        # Classes that lost all their words go, lest they keep a share of every transition.
-        of = np.unique(exchange(pairs, len(symbols.own), CLASSES, SWEEPS), return_inverse=True)[1]
-        total = int(of.max()) + 1
-        n = np.zeros((total, total))
-        np.add.at(n, (of[:, None], of[None, :]), pairs)
+    def __init__(self, head: list[tuple[bytes, int]], of: np.ndarray, n: np.ndarray, tokens: int, vocabulary: int, once: int):
+        """``of``: the class of each head word in order, of the rare class and of the end; ``n``: counts of class pairs."""
+        total = len(n)
         self.tokens, self.vocabulary = tokens, vocabulary
         freq = (n.sum(axis=0) + 1) / (n.sum() + total)
         move = (n + SMOOTH * freq) / (n.sum(axis=1, keepdims=True) + SMOOTH)
         self.move = np.log10(move)
         self.class_of = of
-        class_n = np.zeros(total)
-        for w, c in head:
-            class_n[of[symbols.end if w == END else symbols.of[w]]] += c
+        words = [w for w, _ in head if w != END]
         counts = np.array([c for w, c in head if w != END] + [0], np.float64)
-        self.ids = {w: i for i, w in enumerate(w for w, _ in head if w != END)}
-        self.symbol = np.array([symbols.of[w] for w in self.ids] + [symbols.rare], np.int64)
-        own = of[self.symbol[:-1]]
-        self.emit = np.r_[np.log10(counts[:-1] / class_n[own]) if len(own) else [], 0.0]
+        self.ids = {w: i for i, w in enumerate(words)}
+        class_n = np.bincount(of[:-2], counts[:-1], total)
+        self.emit = np.r_[np.log10(counts[:-1] / class_n[of[:-2]]), 0.0]
         self.base = np.r_[np.log10((counts[:-1] + 1) / (tokens + vocabulary + 1)), 0.0]
         end = next((c for w, c in head if w == END), 0)
-        self.end, self.end_base, self.end_known = symbols.end, float(np.log10((end + 1) / (tokens + vocabulary + 1))), int(end > 0)
+        self.end_base, self.end_known = float(np.log10((end + 1) / (tokens + vocabulary + 1))), int(end > 0)
         self.rare_tokens = tokens - sum(c for _, c in head)
         # Good-Turing, kept off 0 and 1 so that seen and unseen rare words both have a share.
         self.unseen = min(0.9, max(once, 1) / self.rare_tokens) if self.rare_tokens else 1.0
@@ -282,7 +333,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value[0]
         get, other = m.ids.get, len(m.ids)
-        end = m.class_of[m.end]
+        end = m.class_of[-1]
         for batch in batches:
             cols: list[list] = [[] for _ in range(9)]
 
@@ -293,7 +344,7 @@ def _score(shared):
             for uid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text"))):
                 words = low_words(text)
                 ids = np.fromiter((get(w, other) for w in words), np.int64, len(words))
-                c = np.r_[end, m.class_of[m.symbol[ids]], end]
+                c = np.r_[end, m.class_of[ids], end]
                 rare = np.flatnonzero(ids == other)
                 score = m.move[c[:-1], c[1:]].sum() + m.emit[ids].sum()
                 put(uid, doc, held_out(doc), len(words) + 1, len(words) - len(rare) + m.end_known, float(m.base[ids].sum()) + m.end_base, float(score), None, None)
@@ -305,32 +356,51 @@ def _score(shared):
     return run
 
 
-def _pair_counts(some: DataFrame, symbols: Symbols | Classed) -> np.ndarray:
-    shared = some.sparkSession.sparkContext.broadcast([symbols])
-    pairs = np.zeros(symbols.size**2)
-    seen = some.mapInArrow(_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs[seen.column("pair").to_numpy()] = seen.column("n").to_numpy()
-    return pairs.reshape(symbols.size, -1)
-
-
-def _classed(some: DataFrame, symbols: Symbols) -> Classed:
-    """Classes of all head words: the commonest exchanged, each other one inserted by its neighbours."""
-    spark, first = some.sparkSession, len(symbols.own)
-    pairs = _pair_counts(some, symbols)
-    of = np.unique(exchange(pairs, first, CLASSES, SWEEPS), return_inverse=True)[1]
-    total = int(of.max()) + 1
-    k = total - (symbols.size - first)
-    placed = {w: int(of[i]) for i, w in enumerate(symbols.own)}
-    more = list(symbols.of)[first:]
-    if more:
-        n = np.zeros((total, total))
-        np.add.at(n, (of[:, None], of[None, :]), pairs)
-        known, table = spark.sparkContext.broadcast((symbols, of)), spark.sparkContext.broadcast((n, k))
-        near = some.mapInArrow(_neighbours(known), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        dealt = near.repartition(partitions(spark), F.floor(F.col("pair") / F.lit(2 * total))).sortWithinPartitions("pair")
-        best = dealt.mapInArrow(_inserted(table), "word long, class int").toArrow()
-        placed |= {more[w]: c for w, c in zip(best.column("word").to_pylist(), best.column("class").to_pylist())}
-    return Classed(placed)
+def _matrix(rows: DataFrame, size: int) -> np.ndarray:
+    """A table of class pairs (pair, n) from all tasks, at most the square of the number of classes."""
+    out = np.zeros(size * size)
+    seen = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out[seen.column("pair").to_numpy()] = seen.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def classes(symbols: DataFrame, counts: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each head word (``counts``, commonest first), of the rare class and of the end, and the counts of class pairs."""
+    spark = symbols.sparkSession
+    words, first = len(counts), min(SEEDED, len(counts))
+    bands = np.unique(np.floor(np.log2(counts[first:])), return_inverse=True)[1] if words > first else np.zeros(0, np.int64)
+    of = np.r_[np.arange(first), first + bands]
+    size = int(of.max(initial=-1)) + 3
+    of = np.r_[of, size - 2, size - 1].astype(np.int64)
+    pairs = _matrix(symbols.mapInArrow(_pairs(spark.sparkContext.broadcast((of, size))), "pair long, n long"), size)
+    of = np.unique(exchange(pairs, first, CLASSES, SEED_SWEEPS), return_inverse=True)[1][of]
+    k = len(np.unique(of[:first]))
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for sweep in range(SWEEPS + 1):
+        total = int(of.max()) + 1
+        known = spark.sparkContext.broadcast((of, total))
+        tasks = symbols.mapInArrow(_neighbours(known), NEAR)
+        near = scratch.save(tasks.repartition(partitions(spark), "word").mapInArrow(_added(total), NEAR))
+        n = _matrix(near.mapInArrow(_class_pairs(known), "pair long, n long"), total)
+        value = information(n)
+        placed = sweep > 0 or words == first
+        if placed and best and value <= best[0] * (1 + GAIN):
+            if value > best[0]:
+                best = value, of, n
+            break
+        if placed:
+            best = value, of, n
+        if sweep == SWEEPS or not words:
+            break
+        found = near.mapInArrow(_moved(spark.sparkContext.broadcast((of, n, k))), "word long, class int").toArrow()
+        new = of.copy()
+        new[found.column("word").to_numpy()] = found.column("class").to_numpy()
+        new[-2:] = k, k + 1
+        scratch.free(near)
+        # Classes that lost all their words go, lest they keep a share of every transition.
+        of = np.unique(new, return_inverse=True)[1]
+        k = int(of[:-2].max()) + 1
+    return (best[1], best[2]) if best else (of, n)
 
 
 def lm_score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -354,9 +424,11 @@ def lm_score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     least = max(least, 3)
     found = counts.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).toArrow()
     head = sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
-    symbols = Symbols(head)
-    classed = _classed(some, symbols)
-    model = Model(head, classed, _pair_counts(some, classed), tokens, vocabulary, once)
+    ids = {w: i for i, w in enumerate(w for w, _ in head if w != END)}
+    symbols = scratch.save(some.mapInArrow(_symbols(spark.sparkContext.broadcast([ids])), "symbols binary"))
+    of, n = classes(symbols, np.array([c for w, c in head if w != END], np.float64), scratch)
+    scratch.free(symbols)
+    model = Model(head, of, n, tokens, vocabulary, once)
     sent = spark.sparkContext.broadcast([model])
     scored = scratch.save(some.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_score(sent), SCORED))
     rare = scored.where("word is not null").select("uid", "word", F.col("n").alias("times"))
