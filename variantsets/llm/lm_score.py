@@ -44,7 +44,7 @@ HEAD = 200_000
 #: Words that are exchanged one at a time to begin with, sweeps over these, and classes.
 SEEDED, SEED_SWEEPS, CLASSES = 800, 3, 64
 #: Sweeps over all head words, and the least rise of mutual information (a share of it) for which another is made.
-SWEEPS, GAIN = 4, 0.005
+SWEEPS, GAIN = 2, 0.005
 #: Weight of class frequencies in a transition, in tokens.
 SMOOTH = 20.0
 #: Distinct words that a task counts before it hands its counts on.
@@ -143,7 +143,7 @@ def _neighbours(shared):
         for s in _streams(batches, len(of) - 1):
             for i in range(0, len(s) - 1, 2_000_000):
                 t = s[i : i + 2_000_001]
-                c, base = of[t], t.astype(np.int64) * (2 * total)
+                c, base = of.take(t), t.astype(np.int64) * (2 * total)
                 np.add.at(seen, base[:-1] + c[1:], 1)
                 np.add.at(seen, base[1:] + total + c[:-1], 1)
         at = np.flatnonzero(seen)
@@ -379,6 +379,10 @@ def classes(symbols: DataFrame, counts: np.ndarray, scratch: Scratch) -> tuple[n
     for sweep in range(SWEEPS + 1):
         total = int(of.max()) + 1
         known = spark.sparkContext.broadcast((of, total))
+        if sweep == SWEEPS and words:  # nothing moves any more
+            n = _matrix(symbols.mapInArrow(_pairs(known), "pair long, n long"), total)
+            value = information(n)
+            return (of, n) if not best or value > best[0] else best[1:]
         tasks = symbols.mapInArrow(_neighbours(known), NEAR)
         near = scratch.save(tasks.repartition(partitions(spark), "word").mapInArrow(_added(total), NEAR))
         n = _matrix(near.mapInArrow(_class_pairs(known), "pair long, n long"), total)
@@ -390,7 +394,7 @@ def classes(symbols: DataFrame, counts: np.ndarray, scratch: Scratch) -> tuple[n
             break
         if placed:
             best = value, of, n
-        if sweep == SWEEPS or not words:
+        if not words:
             break
         found = near.mapInArrow(_moved(spark.sparkContext.broadcast((of, n, k))), "word long, class int").toArrow()
         new = of.copy()
@@ -400,7 +404,7 @@ def classes(symbols: DataFrame, counts: np.ndarray, scratch: Scratch) -> tuple[n
         # Classes that lost all their words go, lest they keep a share of every transition.
         of = np.unique(new, return_inverse=True)[1]
         k = int(of[:-2].max()) + 1
-    return (best[1], best[2]) if best else (of, n)
+    return best[1:]
 
 
 def lm_score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
