@@ -5,7 +5,7 @@ import pytest
 WORDS = [f"w{i}" for i in range(400)]
 
 #: Columns whose names the operators use for their own purposes.
-CLASH = "id long, key string, h string, n long, part string, uid string, word string, seed string, ids string, text_hash string, kept string, length string, `component_id` string, lang string, source string"
+CLASH = "id long, key string, h string, n long, part string, uid string, word string, seed string, ids string, text_hash string, kept string, length string, `component_id` string, __id long, __gone string, __n_lines long, __n_dropped string, __text string, __row string, __part string, g string, fits string, x0 string, text_hash_ string, level string, lang string, source string"
 
 
 def prose(rng, n):

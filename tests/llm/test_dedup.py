@@ -127,7 +127,31 @@ def test_line_dedup_sql(docs, corpus):
 def test_line_dedup_edges(empty, clashing):
     assert line_dedup.line_dedup(empty).count() == 0
     cut = line_dedup.line_dedup(clashing)
-    assert cut.columns == [*clashing.columns, "__n_lines", "__n_dropped"] and cut.count() == clashing.count()
+    # The fixture has columns named as the two that are added.
+    assert cut.columns == [*clashing.columns, "__n_lines_", "__n_dropped_"] and cut.count() == clashing.count()
+
+
+def test_line_runs_take_further_batches(spark):
+    """Runs that are kept take one batch after the other and then know what one pass over all rows finds; dropped runs leave no files."""
+    import os
+
+    line = "a line of more than twenty characters"
+    scratch = Scratch(spark, "runs")
+    runs = line_dedup.Runs(scratch, 3, 2)
+    for ids in ([9, 8], [7], [5, 4, 3], [1]):
+        rows = [(i, f"{line}\nsome other line that only document {i} has") for i in ids]
+        line_dedup.add_batch(runs, spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {bytes(r["h"]): (r["n"], r["top"]) for r in runs.merged().collect()}
+    assert found[line_dedup.line_key(line)][1] == 9 and found[line_dedup.line_key(line)][0] >= 3
+    assert len(found) == 8 and sum(n >= 3 for n, _ in found.values()) == 1
+    kept = [n for n in os.listdir(scratch.root.removeprefix("file://")) if n.startswith("line_run_")]
+    assert len(kept) == 1
+
+
+def test_keep_first_keeps_one_row(spark):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, "x"), (3, "y"), (None, "x"), (None, "x"), (4, None), (4, None)]
+    kept = near_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 1, 3, 4]
 
 
 def test_substring_chain_against_brute_force():

@@ -147,10 +147,16 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, salt_by: str, how: st
     return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
-def flatten_ids(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, nulls kept; a missing column becomes null."""
-    have = set(df.columns)
-    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it differ from all columns of ``df``, whatever their case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 # --- words -----------------------------------------------------------------

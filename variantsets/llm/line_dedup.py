@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, salted_join
+from .common import SALTS, Scratch, drop, fresh, partitions, salted_join
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -59,11 +59,11 @@ def _keys(min_chars: int):
     return run
 
 
-def _without(min_chars: int):
+def _without(min_chars: int, gone_name: str, n_lines: str, n_dropped: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, dropped = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist()):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(gone_name).to_pylist()):
                 all_ = (text or "").split("\n")
                 if gone:
                     out = set(gone)
@@ -73,9 +73,9 @@ def _without(min_chars: int):
                 texts.append("\n".join(kept))
                 lines.append(len(all_))
                 dropped.append(len(all_) - len(kept))
-            new = {"text": pa.array(texts, pa.string()), "__n_lines": pa.array(lines, pa.int64()), "__n_dropped": pa.array(dropped, pa.int64())}
-            names = [n for n in batch.schema.names if n != "__gone"]
-            yield pa.RecordBatch.from_arrays([new["text"] if n == "text" else batch.column(n) for n in names] + [new["__n_lines"], new["__n_dropped"]], names + ["__n_lines", "__n_dropped"])
+            names = [n for n in batch.schema.names if n != gone_name]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, n_lines, n_dropped])
 
     return run
 
@@ -100,6 +100,7 @@ class Runs:
     def _drop(self, run: DataFrame) -> None:
         name = self.names.pop(id(run))
         self.spark.sql(f"DROP TABLE {name}")
+        drop(self.spark, f"{self.scratch.root}/{name}")  # a table with a path of its own leaves its files
 
     def all(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -149,22 +150,36 @@ class Runs:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, scratch: Scratch | None = None) -> DataFrame:
-    """All columns of ``docs`` with the text cut, and __n_lines, __n_dropped."""
+    """All columns of ``docs`` with the text cut, and __n_lines, __n_dropped (with more underscores after them where ``docs`` has such columns)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line_dedup")
-    marked = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
+    id_, part_, gone_, n_lines, n_dropped = fresh(docs, "__id", "__part", "__gone", "__n_lines", "__n_dropped")
+    # Only what is needed, under names of its own, so that no other column can clash.
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), "text")
     shares = [k / batches for k in range(1, batches)]
-    cuts = sorted({int(x) for x in marked.approxQuantile("__id", shares, 0.01)}, reverse=True) if shares else []
-    part = sum([(F.col("__id") < c).cast("int") for c in cuts], F.lit(0))
-    staged = marked.select(F.col("__id").alias("id"), part.alias("part"), "text").mapInArrow(_keys(min_chars), "part int, h binary, id long")
-    staged = scratch.save(staged)
+    cuts = sorted({int(x) for x in keyed.approxQuantile("id", shares, 0.01)}, reverse=True) if shares else []
+    part = sum([(F.col("id") < c).cast("int") for c in cuts], F.lit(0))
+    staged = scratch.save(keyed.select("id", part.alias("part"), "text").mapInArrow(_keys(min_chars), "part int, h binary, id long"))
     runs = Runs(scratch, min_docs, FANOUT)
     for k in range(len(cuts) + 1):
         counted = staged.where(F.col("part") == k).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
         runs.add(counted)
     hot = runs.merged().where(F.col("n") >= min_docs).select("h", "top")
-    gone = salted_join(staged.select("h", "id").distinct(), hot, "h", "id").where("id < top").groupBy("id").agg(F.collect_list("h").alias("__gone"))
-    joined = marked.join(gone.withColumnRenamed("id", "__id"), "__id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__n_lines long", "__n_dropped long"])
-    return joined.mapInArrow(_without(min_chars), schema)
-
+    gone = salted_join(staged.select("h", "id").distinct(), hot, "h", "id").where("id < top").groupBy("id").agg(F.collect_list("h").alias(gone_))
+    # Rows without doc_id share one key; they are dealt over tasks by their text.
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("id") == NO_ID, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    marked = docs.withColumn(id_, F.coalesce("doc_id", F.lit(NO_ID)).cast("long")).withColumn(part_, salt)
+    side = gone.select(F.col("id").alias(id_), F.explode(salts).alias(part_), gone_)
+    joined = marked.join(side, [id_, part_], "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone_)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n_lines}` long", f"`{n_dropped}` long"])
+    return joined.mapInArrow(_without(min_chars, gone_, n_lines, n_dropped), schema)
+
+
+def add_batch(runs: Runs, docs: DataFrame, min_chars: int = MIN_CHARS) -> None:
+    """Adds a new batch to runs that are kept: its documents must be smaller than all that the runs have seen.
+
+    ``runs.merged()`` then has each key's number of documents and the largest one; the runs can take further batches.
+    """
+    staged = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.lit(0).alias("part"), "text").mapInArrow(_keys(min_chars), "part int, h binary, id long")
+    runs.add(staged.select("h", "id").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")))

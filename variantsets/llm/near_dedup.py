@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, grams, low_words, mix64, partitions, salted_join, texts_of
+from .common import Scratch, WordHash, fresh, grams, low_words, mix64, partitions, salted_join, texts_of
 from .components import components
 
 #: MinHashes in a half-key.
@@ -310,6 +310,10 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that are the least doc_id of their class, all their columns."""
-    kept = near_dedup(docs, k, percent, scratch).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of the least doc_id of each class, all its columns, of several with that doc_id the one with the least text hash; rows without doc_id stay."""
+    kept = near_dedup(docs, k, percent, scratch).where("kept and doc_id is not null")
+    row, id_ = fresh(docs, "__row", "__id")
+    named = docs.where("doc_id is not null").join(kept.select(F.col("doc_id").alias(id_)).distinct(), F.col("doc_id") == F.col(id_), "left_semi")
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = named.groupBy("doc_id").agg(F.min_by(columns, F.struct(F.xxhash64("text"), F.col("text"))).alias(row))
+    return one.select(f"{row}.*").unionByName(docs.where("doc_id is null"))

@@ -9,8 +9,9 @@ third of the rows is summed map-side and no group is ever gathered.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null language or source is a group of its own; repeated rows count as rows each;
-groups under ``MIN_GROUP`` rows are pooled by language, and a pool that is still
-smaller rejects nothing; an empty table gives an empty result.
+a group under ``MIN_GROUP`` rows is judged by an estimate over all rows of its
+language or, where these are too few, over all rows; a table of fewer rows rejects
+nothing by distance; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
-#: Groups with fewer rows are pooled.
+#: Groups with fewer rows are judged by their language, then by all rows.
 MIN_GROUP = 50
 #: Concentration steps from the median/MAD start.
 STEPS = 4
@@ -172,15 +173,22 @@ def quality(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     flat = statistics(docs).select("doc_id", "text_hash", "lang", "source", "s.*", "l.*", "n_symbols")
     stats = scratch.save(flat)
     rows = stats.withColumn("base_failed", base_failed())
-    own, lang = F.struct("lang", "source"), F.struct("lang", F.lit(None).cast("string").alias("source"))
-    sizes = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"))
-    groups = sizes.select("lang", "source", F.to_json(F.when(F.col("size") >= MIN_GROUP, own).otherwise(lang)).alias("g"), "size")
-    pooled = groups.groupBy("g").agg(F.sum("size").alias("pool"))
-    groups = _groups(groups.join(pooled, "g").select("lang", "source", F.when(F.col("pool") >= MIN_GROUP, F.col("g")).alias("g")), scratch)
+    # A row per (language, source), which are few; levels: 0 its own rows, 1 those of its language, 2 all rows, null too few.
+    sizes = _groups(rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size")), scratch)
+    by_lang, over_all = Window.partitionBy("lang"), Window.partitionBy()
+    enough = lambda n: n >= MIN_GROUP
+    level = F.when(enough(F.col("size")), 0).when(enough(F.sum("size").over(by_lang)), 1).when(enough(F.sum("size").over(over_all)), 2)
+    levels = sizes.withColumn("level", level)
+    named = F.array(*[F.concat(F.lit(f"{k}"), F.to_json(F.struct(*c))) if c else F.lit(f"{k}") for k, c in enumerate((("lang", "source"), ("lang",), ()))])
+    used = lambda k, w: F.max(F.when(F.col("level") == k, F.lit(1)).otherwise(F.lit(0))).over(w) == 1
+    fits = F.array_compact(F.array(F.when(F.col("level") == 0, named[0]), F.when(used(1, by_lang), named[1]), F.when(used(2, over_all), named[2])))
+    groups = _groups(levels.select("lang", "source", F.when(F.col("level").isNotNull(), named[F.col("level")]).alias("g"), fits.alias("fits")), scratch)
     on = [rows[c].eqNullSafe(groups[c]) for c in ("lang", "source")]
-    placed = rows.join(groups, on, "left").select("doc_id", *[rows[c] for c in rows.columns if c != "doc_id"], "g", *[c.alias(X[i]) for i, c in enumerate(_features())])
+    placed = rows.join(groups, on, "left").select("doc_id", *[rows[c] for c in rows.columns if c != "doc_id"], "g", "fits", *[c.alias(X[i]) for i, c in enumerate(_features())])
     placed = scratch.save(placed)
-    fit = placed.where(F.col("g").isNotNull() & ~F.col("base_failed")).select("g", *X)
+    # Rows that estimates are made of: a row may count for its own group, its language and all rows.
+    fit = placed.where(~F.col("base_failed")).select(F.explode("fits").alias("g"), *X)
+    placed = placed.drop("fits")
     start = _groups(fit.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(m) for x, m in zip(X, M)]), scratch)
     around = fit.join(start, "g").groupBy("g").agg(*[F.first(m).alias(m) for m in M], *[F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 1000).alias(f"s{i}") for i, (x, m) in enumerate(zip(X, M))])
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i in range(DIM) for j in range(i)]
@@ -198,5 +206,6 @@ def quality(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def keep(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    passed = quality(docs, scratch).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
-    return docs.join(passed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_semi")
+    id_, text_ = fresh(docs, "__id", "__text")
+    passed = quality(docs, scratch).where("kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text_)).distinct()
+    return docs.join(passed, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(text_)), "left_semi")
