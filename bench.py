@@ -66,8 +66,9 @@ def main() -> None:
                 timed(f"{name}_{layout}", lambda c=c, query=query, on=on, layout=layout: drain(c.view(query, on, layout)))
         site = cat.variants.orderBy("chrom", "pos", "ref", "alt").first()
         timed("samples_contains", lambda: drain(cat.samples(contains=f"{site['chrom']}:{site['pos']}:{site['ref']}:{site['alt']}")))
-        timed("dist_all", lambda: drain(long.dist()))
-        timed("dist_binned", lambda: drain(long.dist(on=["ch01:1-25000"], bin_size=5000)))
+        for layout, c in (("", long), ("_bitmap", cat)):
+            timed(f"dist_all{layout}", lambda c=c, layout=layout: drain(c.dist(layout=layout.strip("_") or "long")))
+            timed(f"dist_binned{layout}", lambda c=c, layout=layout: drain(c.dist(on=["ch01:1-25000"], bin_size=5000, layout=layout.strip("_") or "long")))
         warm = {k: v for k, v in took.items() if not k.endswith("_cold")}
         print(json.dumps({"metric": "variant_queries_total_warm", "value": round(sum(warm.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(SF.rstrip("/"))}))
     finally:

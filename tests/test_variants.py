@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from variantsets import cli
-from variantsets.errors import BadBounds, BadNameFile, BadVariant, BinsNeedOneRegion, DuplicateSample, IndexExists, NoSuchGenome, UnknownChromosome, VariantQueryError
+from variantsets.errors import BadBounds, BadNameFile, BadVariant, BinsNeedOneRegion, DuplicateSample, IndexExists, NoSuchGenome, IndexNotOpen, NoListFile, NoNameFile, UnknownChromosome, UnknownVariantChromosome, UnreadableVcf, VariantQueryError
 from variantsets.functions.variants import genotype_code, genotype_code_strict, snv_type, wildcard, wildcard_matches
 from variantsets.sources import sinks
 from variantsets.sources.catalog import Catalog, numbered
@@ -82,7 +82,9 @@ def test_lists_and_regions(cat):
     assert len(cat.view("A1", ["ch1:1-120", "ch1:90-150"]).where("pos = 100").collect()) == 2
     assert shown(cat.view("A1", ["ch1:900-1000"])) == []
     assert [r["name"] for r in cat.samples(match="A*", contains="ch1:150:TCC:TCCC").collect()] == ["A2", "A1"]
-    assert cat.samples(contains="ch9:1:A:G").collect() == []
+    assert cat.samples(contains="ch2:90:A:C").collect() == []
+    with pytest.raises(UnknownVariantChromosome):
+        cat.samples(contains="ch9:1:A:G")
 
 
 def test_bitmap_needs_no_shuffle_and_prunes(cat):
@@ -138,7 +140,7 @@ def test_sinks(cat):
     assert list(sinks.phylip(cat.dist())) == ["3", "B1 0 7 4", "A2 7 0 3", "A1 4 3 0"]
     assert json.loads(sinks.matrix_json(cat.dist(a=["A1"], b=["B1"]))) == {"rows": ["A1"], "columns": ["B1"], "matrix": [[4]]}
     assert [r["line"] for r in sinks.phylip_rows(cat.dist()).orderBy("row_name").collect()] == ["A1 4 3 0", "A2 7 0 3", "B1 0 7 4"]
-    assert list(sinks.vcf_body(cat.view("A1 & B1"))) == ["ch1\t100\t.\tA\tG\t.\t.\t.", "ch2\t50\t.\tG\tA\t.\t.\t."]
+    assert list(sinks.vcf_body(cat.view("A1 & B1"), cat.chroms_table)) == ["ch1\t100\t.\tA\tG\t.\t.\t.", "ch2\t50\t.\tG\tA\t.\t.\t."]
     assert len(sinks.vcf_header("x")) == 4 and len(sinks.vcf_header("x", ["ch1"])) == 5
 
 
@@ -211,3 +213,56 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     ingest.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [tuple(r) for r in ingest.carriers(spark, str(tmp_path / "out")).collect()] == [("c", 1, "A", "G", "S1")]
+
+
+def test_absent_genotype_is_no_carrier(spark, tmp_path):
+    (tmp_path / "s.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA1\tA2\nch1\t5\t.\tA\tG\t.\t.\t.\tGT\t0/1\nch1\t6\t.\tA\tG\t.\t.\t.\tGT\t0/0\t1/1\t1/1\n")
+    for mode in ("reference", "strict"):
+        cat = Catalog.build(spark, str(tmp_path / mode), [str(tmp_path / "s.vcf")], genotype_mode=mode)
+        assert shown(cat.view("A1")) == [("ch1", 5, "A", "G")] and shown(cat.view("A2")) == [("ch1", 6, "A", "G")]
+
+
+def test_vcf_keeps_the_order_of_chromosomes(spark, tmp_path):
+    line = "{}\t{}\t.\tA\tG\t.\t.\t.\tGT\t1/1\n"
+    (tmp_path / "o.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA1\n" + "".join(line.format(c, p) for c in ("chr2", "chr10", "chr1") for p in (9, 11)))
+    cat = Catalog.build(spark, str(tmp_path / "index"), [str(tmp_path / "o.vcf")])
+    body = [x.split("\t")[:2] for x in sinks.vcf_body(cat.view("A1"), cat.chroms_table)]
+    assert body == [[c, p] for c in ("chr2", "chr10", "chr1") for p in ("9", "11")]
+
+
+def test_codes_of_missing_files(spark, files, cat, tmp_path):
+    from variantsets.cli import _patterns
+
+    for code, error, call in (
+        (701, IndexNotOpen, lambda: Catalog.open(spark, str(tmp_path / "none"))),
+        (7100, UnreadableVcf, lambda: Catalog.build(spark, str(tmp_path / "new"), [str(tmp_path / "none.vcf")])),
+        (9000, NoNameFile, lambda: cat.rename_from(str(tmp_path / "none.txt"))),
+        (10001, NoListFile, lambda: _patterns(str(tmp_path / "none.txt"))),
+        (5003, IndexExists, lambda: Catalog.build(spark, str(files[0] / "index"), files[1])),
+    ):
+        with pytest.raises(error) as e:
+            call()
+        assert e.value.code == code
+
+
+def test_distances_on_bitmaps(spark, cat, monkeypatch):
+    """Both layouts agree, in blocks of any size, and nothing is exploded to pairs."""
+    from variantsets.operators import distance
+
+    table = lambda layout, **o: sorted(map(tuple, cat.dist(layout=layout, **o).collect()))
+    plan = cat.dist()._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    for block in (2048, 2, 1):
+        monkeypatch.setattr(distance, "BLOCK", block)
+        for options in ({}, {"on": ["ch1:1-200"], "bin_size": 100}, {"a": ["A1"], "b": ["A*", "B1"]}, {"on": ["ch1:1-120", "ch1:90-150"]}):
+            assert table("bitmap", **options) == table("long", **options)
+
+
+def test_wide_bitmaps(spark):
+    """More words than one aggregate each gives the same carriers."""
+    from variantsets.sources.catalog import bitmap_of, explode_bits
+
+    rows = [("c", p, "A", "G", (p * 37 + 11 * k) % 1500) for p in range(1, 30) for k in range(p)] + [("c", 99, "A", "G", None)]
+    index = bitmap_of(spark.createDataFrame(rows, "chrom string, pos long, ref string, alt string, sample_id int"), 1500)
+    assert index.count() == 30 and {len(r["bits"]) for r in index.collect()} == {24}
+    assert {tuple(r) for r in explode_bits(index).collect()} == {r for r in rows if r[4] is not None}

@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .errors import VariantQueryError
+from .errors import NoListFile, VariantQueryError
 from .sources import sinks
 from .sources.catalog import Catalog
 
@@ -51,8 +51,11 @@ def _parser() -> argparse.ArgumentParser:
 def _patterns(path: str | None) -> list[str]:
     if not path:
         return []
-    with open(path) as f:
-        return [line.rstrip("\n") for line in f if line.rstrip("\n")]
+    try:
+        with open(path) as f:
+            return [line.rstrip("\n") for line in f if line.rstrip("\n")]
+    except OSError as e:
+        raise NoListFile(f"{path} cannot be read") from e
 
 
 def _one(x: str | None) -> list[str]:
@@ -84,7 +87,7 @@ def run(args: argparse.Namespace, spark: SparkSession, out=sys.stdout) -> None:
         if not args.no_headers:
             for line in sinks.vcf_header(f"view {args.query}", args.region):
                 say(line)
-        for line in sinks.vcf_body(found):
+        for line in sinks.vcf_body(found, cat.chroms_table):
             say(line)
     elif args.command == "dist":
         sided = any((args.a_match, args.b_match, args.ac, args.bc, args.a_list_file, args.b_list_file))

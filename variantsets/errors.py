@@ -55,4 +55,20 @@ class BinsNeedOneRegion(VariantQueryError):
 
 
 class IndexExists(VariantQueryError):
-    code = 101
+    code = 5003
+
+
+class IndexNotOpen(VariantQueryError):
+    code = 701
+
+
+class UnreadableVcf(VariantQueryError):
+    code = 7100
+
+
+class NoNameFile(VariantQueryError):
+    code = 9000
+
+
+class NoListFile(VariantQueryError):
+    code = 10001

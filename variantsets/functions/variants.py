@@ -24,18 +24,19 @@ def genotype_code(gt: Column) -> Column:
     """0 where both alleles are the reference, 1 where they are equal, 2 where they differ.
 
     Only the first and third character count, so a missing genotype ``./.`` is
-    two equal alleles. A haploid genotype is taken as two equal alleles.
+    two equal alleles. A haploid genotype is taken as two equal alleles. An absent
+    field, as on a line with fewer genotypes than samples, is no carrier.
     """
     a, b = F.substring(gt, 1, 1), F.substring(gt, 3, 1)
     b = F.when(b == "", a).otherwise(b)
-    return F.when((a == "0") & (b == "0"), 0).when(a == b, 1).otherwise(2)
+    return F.when(gt.isNull() | (gt == "") | ((a == "0") & (b == "0")), 0).when(a == b, 1).otherwise(2)
 
 
 def genotype_code_strict(gt: Column, ordinal: Column) -> Column:
     """Like genotype_code, for one ALT: only alleles that name its ordinal count, and a missing one is no carrier."""
     alleles = F.split(F.split(gt, ":")[0], "[/|]")
     own = F.filter(alleles, lambda x: x == ordinal.cast("string"))
-    return F.when(F.size(own) == 0, 0).when(F.size(own) == F.size(alleles), 1).otherwise(2)
+    return F.when(gt.isNull() | (F.size(own) == 0), 0).when(F.size(own) == F.size(alleles), 1).otherwise(2)
 
 
 def wildcard(name: Column, pattern: str, anchored: bool = False) -> Column:
@@ -49,7 +50,7 @@ def wildcard(name: Column, pattern: str, anchored: bool = False) -> Column:
     after: Column = F.lit(1)
     parts = [p for p in pattern.split("*") if p]
     for k, part in enumerate(parts):
-        at = F.locate_at(part, name, after) if hasattr(F, "locate_at") else F.call_function("locate", F.lit(part), name, after)
+        at = F.call_function("locate", F.lit(part), name, after)
         ok = ok & (at > 0)
         if anchored and k == 0 and not pattern.startswith("*"):
             ok = ok & (at == 1)

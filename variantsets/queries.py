@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.variants import genotype_code, snv_type
@@ -175,3 +177,79 @@ _add("rename_single", _renamed([("S3", "Third")]), f"WITH {CALLS} SELECT DISTINC
 _add("rename_chain", _renamed([("S3", "T"), ("T", "U"), ("S4", "S3")]), f"WITH {CALLS} SELECT DISTINCT CASE sample WHEN 'S3' THEN 'U' WHEN 'S4' THEN 'S3' ELSE sample END AS name FROM calls")
 _add("vcf_lines", lambda s, d: sinks.vcf_lines(_catalog(s, d).view("S1 & S2", ["ch01"])).select("line"), f"WITH {CALLS} SELECT concat_ws(chr(9), chrom, cast(pos AS varchar), '.', ref, alt, '.', '.', '.') AS line FROM carriers WHERE chrom = 'ch01' GROUP BY {V} HAVING {_has('S1')} AND {_has('S2')}")
 _add("phylip_lines", lambda s, d: sinks.phylip_rows(_catalog(s, d).dist()), f"SELECT row_name, concat(row_name, ' ', string_agg(cast(distance AS varchar), ' ' ORDER BY col_name DESC)) AS line FROM ({_dist_sql('true', 'true')}) GROUP BY row_name")
+
+
+# --- by VCF text and a stored index ------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares one, else of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='variantsets-')}"
+    return f"{base.rstrip('/')}/variantsets/query-{uuid.uuid4().hex}"
+
+
+def _one_file(lines: DataFrame, folder: str) -> str:
+    """Writes lines as one text file and returns its path."""
+    spark = lines.sparkSession
+    lines.coalesce(1).write.text(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)[0].getPath().toString()
+
+
+def vcf_text(calls: DataFrame, samples: list[str]) -> DataFrame:
+    """(value): VCF lines of calls, chromosomes in descending order; of several calls of a sample the greatest that carries."""
+    hit = F.max(F.when(F.col("gt") != "0/0", F.col("gt")))
+    per = calls.groupBy("chrom", "pos", "ref", "alt").pivot("sample", samples).agg(hit)
+    cells = [F.coalesce(F.col(f"`{s}`"), F.lit("0/0")) for s in samples]
+    dot = F.lit(".")
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), dot, "ref", "alt", dot, dot, dot, F.lit("GT"), *cells)
+    head = calls.sparkSession.createDataFrame([("##fileformat=VCFv4.3", 0), ("\t".join([sinks.COLUMNS, "FORMAT", *samples]), 1)], "value string, k int")
+    body = per.select(line.alias("value"), F.lit(2).alias("k"), F.col("chrom"), F.col("pos"))
+    return head.select("value", "k", F.lit(None).cast("string").alias("chrom"), F.lit(None).cast("long").alias("pos")).unionByName(body).orderBy("k", F.desc("chrom"), "pos").select("value")
+
+
+def _built(spark: SparkSession, sf_dir: str, **options) -> Catalog:
+    folder = _folder(spark)
+    path = _one_file(vcf_text(adapter.calls(spark, sf_dir), [n for _, n, _ in adapter.sample_rows()]), f"{folder}/vcf")
+    return Catalog.build(spark, f"{folder}/index", [path], **options)
+
+
+_FIELDS = "fields AS (SELECT chrom, pos, ref, alt, sample, max(gt) FILTER (WHERE gt <> '0/0') AS gt FROM calls GROUP BY ALL)"
+_add("vcf_build_carriers", lambda s, d: _named(_built(s, d)), f"WITH {CALLS} SELECT {V}, sample AS name FROM carriers")
+_add("vcf_build_homozygous", lambda s, d: _named(_built(s, d, homozygous=True)), f"WITH {CALLS}, {_FIELDS} SELECT {V}, sample AS name FROM fields WHERE gt IN ('1/1', './.')")
+_add("vcf_build_strict", lambda s, d: _named(_built(s, d, genotype_mode="strict")), f"WITH {CALLS}, {_FIELDS} SELECT {V}, sample AS name FROM fields WHERE gt IN ('0/1', '1/1')")
+_add("vcf_build_chroms", lambda s, d: _built(s, d, types="snps").chroms(), f"WITH {CALLS} {_CHROMS.format('(SELECT * FROM variants WHERE length(ref) = 1 AND length(alt) = 1)')}")
+_add("vcf_header_samples", lambda s, d: _built(s, d).samples_table.select("sample_id", "name"), f"WITH {CALLS} SELECT DISTINCT cast(substr(sample, 2) AS int) AS sample_id, sample AS name FROM calls")
+
+
+def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = _built(spark, sf_dir)
+    ordered = sinks.vcf_ordered(cat.view("S1 & S2"), cat.chroms_table)
+    place = Window.partitionBy("region_ord", "chrom_ord").orderBy("pos", "ref", "alt")
+    return ordered.select("chrom_ord", F.row_number().over(place).alias("place"), "line")
+
+
+_add("vcf_body_order", _body, f"WITH {CALLS}, found AS (SELECT {V} FROM carriers GROUP BY {V} HAVING {_has('S1')} AND {_has('S2')}) SELECT cast(7 - cast(substr(chrom, 3) AS int) AS int) AS chrom_ord, cast(row_number() OVER (PARTITION BY chrom ORDER BY pos, ref, alt) AS int) AS place, concat_ws(chr(9), chrom, cast(pos AS varchar), '.', ref, alt, '.', '.', '.') AS line FROM found")
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = _built(spark, sf_dir)
+    return spark.createDataFrame([(cat.sample_count, cat.chrom_count)], "samples long, chroms long")
+
+
+_add("catalog_counts", _counts, f"WITH {CALLS} SELECT count(DISTINCT sample) AS samples, count(DISTINCT chrom) AS chroms FROM calls")
+_of_index = lambda **options: lambda s, d: _built(s, d).dist(**options).select("bin", "row_name", "col_name", "distance")
+_add("dist_bitmap", _of_index(), _dist_sql("true", "true"))
+_add("dist_bitmap_a_vs_b", _of_index(a=["S1", "S2", "S3"], b=["S3", "S4"]), _dist_sql("sample IN ('S1', 'S2', 'S3')", "sample IN ('S3', 'S4')"))
+_add("dist_bitmap_regions_sum", _of_index(on=["ch01:1-5000", "ch01:2501-7500"]), _dist_sql("true", "true", _SUMMED))
+_add("dist_bitmap_binned", _of_index(on=["ch01:1-24000"], bin_size=5000), _dist_sql("true", "true", "SELECT *, cast((pos - 1) // 5000 AS int) AS bin FROM carriers WHERE chrom = 'ch01' AND pos BETWEEN 1 AND 24000", "SELECT cast(range AS int) AS bin FROM range(5)"))
+
+
+def _renamed_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = _catalog(spark, sf_dir)
+    names = spark.createDataFrame([("S3\tThird",), ("nobody\tx",), ("S4\tS3",)], "value string")
+    cat.rename_from(_one_file(names, f"{_folder(spark)}/names"))
+    return cat.samples()
+
+
+_add("rename_from_file", _renamed_by_file, f"WITH {CALLS} SELECT DISTINCT CASE sample WHEN 'S3' THEN 'Third' WHEN 'S4' THEN 'S3' ELSE sample END AS name FROM calls")

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import BadNameFile, BinsNeedOneRegion, IndexExists, NoSuchGenome, VariantQueryError
+from ..errors import BadNameFile, BinsNeedOneRegion, IndexExists, IndexNotOpen, NoNameFile, NoSuchGenome, UnknownVariantChromosome, VariantQueryError
 from ..functions.variants import any_wildcard, genotype_code, genotype_code_strict, snv_type, wildcard_matches
 from ..operators import distance, regions, selection
 from ..plans import compile, language
@@ -53,9 +54,23 @@ def numbered(variants: DataFrame) -> DataFrame:
 
 def bitmap_rows(variants: DataFrame, carriers: DataFrame, samples: int) -> DataFrame:
     """One row per variant: bits[w] has bit b set if sample 64 * w + b carries it. One shuffle, summed map-side."""
+    return bitmap_of(variants.select(*VARIANT, F.lit(None).cast("int").alias("sample_id")).unionByName(carriers), samples)
+
+
+#: Words that are aggregates of one expression each; more are rows of (variant, word) first, as code generation has its limits.
+WIDE = 16
+
+
+def bitmap_of(all_: DataFrame, samples: int) -> DataFrame:
+    """The same from rows (variant, sample_id), whose sample_id is null where only the variant is known."""
     words = max(1, -(-samples // 64))
-    all_ = variants.select(*VARIANT, F.lit(None).cast("int").alias("sample_id")).unionByName(carriers)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("sample_id"), F.lit(64)))
+    if words > WIDE:
+        word = F.floor(F.col("sample_id") / 64).cast("int").alias("w")
+        some = all_.groupBy(*VARIANT, word).agg(F.bit_or(F.coalesce(bit, F.lit(0).cast("bigint"))).alias("word"))
+        held = F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "word"))))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.try_element_at("held", w), F.lit(0).cast("bigint")))
+        return some.groupBy(*VARIANT).agg(held.alias("held")).select(*VARIANT, snv_type(F.col("ref"), F.col("alt")).alias("vtype"), bits.alias("bits"))
     per = [F.bit_or(F.when(F.floor(F.col("sample_id") / 64) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(words)]
     table = all_.groupBy(*VARIANT).agg(*per)
     return table.select(*VARIANT, snv_type(F.col("ref"), F.col("alt")).alias("vtype"), F.array(*[f"w{w}" for w in range(words)]).alias("bits"))
@@ -83,7 +98,11 @@ class Catalog:
     @classmethod
     def build(cls, spark: SparkSession, path: str, vcfs: list[str], types: str = "both", homozygous: bool = False, name_file: str | None = None, force: bool = False, genotype_mode: str = "reference") -> Catalog:
         names = vcf.headers(spark, vcfs)
-        cat = cls.write(vcf.read_calls(spark, vcfs, types), vcf.sample_rows(names), path, homozygous, force, genotype_mode)
+        if not force and _exists(spark, path):
+            raise IndexExists(f"{path} exists already")
+        sites, rows = vcf.read_sites(spark, vcfs, types), vcf.sample_rows(names)
+        index = bitmap_of(vcf.carried(sites, names, homozygous, genotype_mode), len(rows))
+        cat = cls._stored(index, sites, spark.createDataFrame(rows, SAMPLES), path)
         if name_file:
             cat.rename_from(name_file)
         return cat
@@ -95,15 +114,24 @@ class Catalog:
             raise IndexExists(f"{path} exists already")
         cat = cls.from_calls(calls, samples, homozygous, genotype_mode=genotype_mode)
         index = bitmap_rows(cat.variants, cat.carriers.where("sample_id is not null"), len(samples))
+        return cls._stored(index, calls, cat.samples_table, path)
+
+    @classmethod
+    def _stored(cls, index: DataFrame, seen: DataFrame, samples: DataFrame, path: str) -> Catalog:
+        """Writes the folder; ``seen`` tells the order of chromosomes."""
+        spark = index.sparkSession
         index.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "ref", "alt").write.mode("overwrite").partitionBy("chrom").parquet(f"{path}/index")
         opened = spark.read.schema(index.schema).parquet(f"{path}/index")
-        chrom_rows(opened.select(*VARIANT), calls.select(*[c for c in ("chrom", "file_ord", "line_no") if c in calls.columns])).coalesce(1).write.mode("overwrite").parquet(f"{path}/chroms")
-        cat.samples_table.coalesce(1).write.mode("overwrite").parquet(f"{path}/samples")
+        chrom_rows(opened.select(*VARIANT), seen.select(*[c for c in ("chrom", "file_ord", "line_no") if c in seen.columns])).coalesce(1).write.mode("overwrite").parquet(f"{path}/chroms")
+        samples.coalesce(1).write.mode("overwrite").parquet(f"{path}/samples")
         return cls.open(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, match_mode: str = "reference") -> Catalog:
-        index = spark.read.parquet(f"{path}/index").select(*VARIANT, "vtype", "bits")
+        try:
+            index = spark.read.parquet(f"{path}/index").select(*VARIANT, "vtype", "bits")
+        except AnalysisException as e:
+            raise IndexNotOpen(f"{path} cannot be opened as an index") from e
         return cls(spark, spark.read.parquet(f"{path}/samples"), index.select(*VARIANT), explode_bits(index), spark.read.parquet(f"{path}/chroms"), index, path, match_mode)
 
     # --- dictionaries ------------------------------------------------------
@@ -120,6 +148,21 @@ class Catalog:
     def parse_regions(self, texts: list[str] | None) -> list[regions.Region] | None:
         return [regions.parse_region(t, self.lengths) for t in texts] if texts else None
 
+    def _variants(self, texts: list[str] | None) -> list[selection.Variant]:
+        wanted = selection.parse_variants(texts)
+        unknown = next((v[0] for v in wanted if v[0] not in self.lengths), None)
+        if unknown is not None:
+            raise UnknownVariantChromosome(f"Unknown chromosome of a variant: {unknown}")
+        return wanted
+
+    @property
+    def sample_count(self) -> int:
+        return len(self.sample_list)
+
+    @property
+    def chrom_count(self) -> int:
+        return len(self.lengths)
+
     def chroms(self) -> DataFrame:
         return self.chroms_table.orderBy("chrom_ord").select("chrom", "length", "variant_count")
 
@@ -127,7 +170,7 @@ class Catalog:
         """Samples that match any pattern and carry all variants, latest loaded first."""
         patterns = [match] if isinstance(match, str) else match
         found = self.samples_table.where(any_wildcard(F.col("name"), patterns, self.anchored))
-        wanted = selection.parse_variants([contains] if isinstance(contains, str) else contains)
+        wanted = self._variants([contains] if isinstance(contains, str) else contains)
         if wanted:
             found = found.join(selection.carrying_all(self.carriers, wanted), "sample_id", "left_semi")
         return found.orderBy(F.col("load_ord").desc()).select("name")
@@ -142,14 +185,14 @@ class Catalog:
         if isinstance(node, language.Names):
             found = self._match(node.patterns)
         elif isinstance(node, language.Having):
-            wanted = selection.parse_variants(list(node.variants))
+            wanted = self._variants(list(node.variants))
             have = {r["sample_id"] for r in selection.carrying_all(self.carriers, wanted).collect()}
             found = [i for i in self._match(node.names.patterns) if i in have]
         else:
             gone = set(self.resolve_list(node.right))
             return [i for i in self.resolve_list(node.left) if i not in gone]
         if not found:
-            raise NoSuchGenome("Could not find specified genome(s)")
+            raise NoSuchGenome("no sample matches the list")
         return found
 
     def resolve(self, node):
@@ -159,11 +202,11 @@ class Catalog:
         if isinstance(node, language.Function):
             ids = self.resolve_list(node.of)
             if not ids:
-                raise NoSuchGenome("Empty genome list")
+                raise NoSuchGenome("a list has no samples left")
             return compile.Fold(node.name, tuple(ids))
         ids = self.resolve_list(node)
         if not ids:
-            raise NoSuchGenome("Empty genome list")
+            raise NoSuchGenome("a list has no samples left")
         if len(ids) > 1:
             raise VariantQueryError("a list of genomes cannot be an operand")
         return compile.Genome(ids[0])
@@ -189,13 +232,13 @@ class Catalog:
     def select(self, match: list[str] | None, contains: list[str] | None) -> list[int]:
         """Sample ids of one side of a distance matrix, latest loaded first; none is no error."""
         ids = self._match(tuple(match)) if match else [i for i, *_ in self.sample_list]
-        wanted = selection.parse_variants(contains)
+        wanted = self._variants(contains)
         if wanted:
             have = {r["sample_id"] for r in selection.carrying_all(self.carriers, wanted).collect()}
             ids = [i for i in ids if i in have]
         return ids
 
-    def dist(self, match: list[str] | None = None, contains: list[str] | None = None, a: list[str] | None = None, b: list[str] | None = None, a_contains: list[str] | None = None, b_contains: list[str] | None = None, on: list[str] | None = None, bin_size: int | None = None) -> DataFrame:
+    def dist(self, match: list[str] | None = None, contains: list[str] | None = None, a: list[str] | None = None, b: list[str] | None = None, a_contains: list[str] | None = None, b_contains: list[str] | None = None, on: list[str] | None = None, bin_size: int | None = None, layout: str | None = None) -> DataFrame:
         """(bin, row_name, col_name, distance): variants that exactly one of the two samples carries, summed over regions."""
         side = lambda own, own_has: self.select([*(match or []), *(own or [])] or None, [*(contains or []), *(own_has or [])] or None)
         rows, cols = side(a, a_contains), side(b, b_contains)
@@ -207,7 +250,10 @@ class Catalog:
                 places = [regions.Region(c, 1, n) for c, n in self.lengths.items()]
             if len(places) != 1:
                 raise BinsNeedOneRegion("bins need exactly one region")
-        found = distance.matrix(self.carriers, rows, cols, places, bin_size)
+        if self.index is not None and layout != "long":
+            found = distance.bitmap_matrix(self.index, rows, cols, places, bin_size)
+        else:
+            found = distance.matrix(self.carriers, rows, cols, places, bin_size)
         name = lambda side: self.samples_table.select(F.col("sample_id").alias(side), F.col("name").alias(f"{side}_name"), F.col("load_ord").alias(f"{side}_ord"))
         return found.join(name("row"), "row").join(name("col"), "col").select("bin", "row_name", "col_name", "distance", "row_ord", "col_ord")
 
@@ -241,7 +287,11 @@ class Catalog:
     def rename_from(self, path: str) -> None:
         """Renames by a file of old and new names; names that the index lacks are passed over."""
         changes, bad = [], None
-        for k, r in enumerate(self.spark.read.text(path).collect()):
+        try:
+            lines = self.spark.read.text(path).collect()
+        except AnalysisException as e:
+            raise NoNameFile(f"{path} cannot be read") from e
+        for k, r in enumerate(lines):
             cells = r["value"].split("\t")
             if len(cells) < 2 or not cells[0]:
                 bad = k + 1

@@ -29,10 +29,15 @@ def vcf_lines(variants: DataFrame) -> DataFrame:
     return variants.withColumn("line", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), dot, text("ref"), text("alt"), dot, dot, dot))
 
 
-def vcf_body(variants: DataFrame) -> Iterator[str]:
-    """Lines in order of region, position and alleles, streamed a partition at a time."""
-    ordered = vcf_lines(variants).orderBy("region_ord", "chrom", "pos", "ref", "alt").select("line")
-    return (r["line"] for r in ordered.toLocalIterator())
+def vcf_ordered(variants: DataFrame, chroms: DataFrame) -> DataFrame:
+    """The columns of vcf_lines in order of region, chromosome as stored (``chroms``: chrom, chrom_ord; a dictionary), position and alleles."""
+    known = F.broadcast(chroms.select("chrom", "chrom_ord"))
+    return vcf_lines(variants).join(known, "chrom", "left").orderBy("region_ord", "chrom_ord", "pos", "ref", "alt")
+
+
+def vcf_body(variants: DataFrame, chroms: DataFrame) -> Iterator[str]:
+    """Lines in order, streamed a partition at a time."""
+    return (r["line"] for r in vcf_ordered(variants, chroms).select("line").toLocalIterator())
 
 
 def _cells(matrix: DataFrame) -> tuple[list[str], list[str], dict]:

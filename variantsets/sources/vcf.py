@@ -7,10 +7,12 @@ suffix and are not splittable.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DuplicateSample, InputError
+from ..errors import DuplicateSample, InputError, UnreadableVcf
+from ..functions.variants import genotype_code, genotype_code_strict
 
 FIXED = 9  # columns before the samples
 CALLS = ["chrom", "pos", "ref", "alt", "sample", "gt", "file_ord", "line_no", "alt_ord"]
@@ -26,7 +28,10 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """value, file and its place among ``paths``; a row keeps its order within a file by line_no."""
     plain = lambda uri: "file:/" + uri[5:].lstrip("/") if uri.startswith("file:/") else uri
     order = F.create_map(*[F.lit(x) for k, p in enumerate(paths) for x in (plain(_qualified(spark, p)), k)])
-    text = spark.read.text(paths)
+    try:
+        text = spark.read.text(paths)
+    except AnalysisException as e:
+        raise UnreadableVcf(f"A file cannot be read: {', '.join(paths)}") from e
     return text.select("value", order[F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")].alias("file_ord"), F.monotonically_increasing_id().alias("line_no"))
 
 
@@ -51,13 +56,12 @@ def type_filter(types: str) -> Column:
     return {"both": F.lit(True), "snps": one, "indels": ~one}[types]
 
 
-def read_calls(spark: SparkSession, paths: list[str], types: str = "both") -> DataFrame:
-    """Calls of all files; ALT alleles split, positions that are no numbers dropped."""
-    names = headers(spark, paths)
+def read_sites(spark: SparkSession, paths: list[str], types: str = "both") -> DataFrame:
+    """A row per line and ALT with the genotypes (gts) of the file's samples; positions that are no numbers are dropped."""
     lines = _lines(spark, paths).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     parts = F.split("value", "\t")
     cut = lines.select("file_ord", "line_no", parts.alias("p")).where(F.size("p") >= FIXED)
-    sites = cut.select(
+    return cut.select(
         F.col("p")[0].alias("chrom"),
         F.col("p")[1].try_cast("bigint").alias("pos"),
         F.col("p")[3].alias("ref"),
@@ -66,8 +70,12 @@ def read_calls(spark: SparkSession, paths: list[str], types: str = "both") -> Da
         "line_no",
         F.expr(f"slice(p, {FIXED + 1}, greatest(size(p) - {FIXED}, 0))").alias("gts"),
     ).where("pos is not null").where(type_filter(types))
-    columns = spark.createDataFrame(list(enumerate(names)), "file_ord int, names array<string>")
-    per = sites.join(columns, "file_ord")
+
+
+def read_calls(spark: SparkSession, paths: list[str], types: str = "both") -> DataFrame:
+    """Calls of all files: a row per line, ALT and sample."""
+    columns = spark.createDataFrame(list(enumerate(headers(spark, paths))), "file_ord int, names array<string>")
+    per = read_sites(spark, paths, types).join(F.broadcast(columns), "file_ord")
     calls = per.select("chrom", "pos", "ref", "alt", "file_ord", "line_no", (F.col("alt_ord") + 1).alias("alt_ord"), F.explode_outer(F.arrays_zip("names", "gts")).alias("c"))
     return calls.select("chrom", "pos", "ref", "alt", F.col("c.names").alias("sample"), F.col("c.gts").alias("gt"), "file_ord", "line_no", "alt_ord")
 
@@ -75,3 +83,17 @@ def read_calls(spark: SparkSession, paths: list[str], types: str = "both") -> Da
 def sample_rows(names: list[list[str]]) -> list[tuple[int, str, int]]:
     """(sample_id, name, load_ord) in load order."""
     return [(k, n, k) for k, n in enumerate(n for ns in names for n in ns)]
+
+
+def carried(sites: DataFrame, names: list[list[str]], homozygous: bool = False, genotype_mode: str = "reference") -> DataFrame:
+    """(chrom, pos, ref, alt, sample_id): a row per sample that carries a line's ALT, one with a null sample where none does.
+
+    Genotypes are coded within the line's array, so calls that carry nothing never become rows.
+    """
+    first = [sum(len(n) for n in names[:k]) for k in range(len(names))]
+    files = sites.sparkSession.createDataFrame([(k, at, len(names[k])) for k, at in enumerate(first)], "file_ord int, first_id int, held int")
+    code = genotype_code if genotype_mode == "reference" else (lambda gt: genotype_code_strict(gt, F.col("alt_ord") + 1))
+    hit = lambda gt: (code(gt) == 1) if homozygous else (code(gt) != 0)
+    ids = F.transform(F.slice("gts", F.lit(1), F.col("held")), lambda gt, i: F.when(hit(gt), F.col("first_id") + i))
+    per = sites.join(F.broadcast(files), "file_ord")
+    return per.select("chrom", "pos", "ref", "alt", F.explode_outer(F.array_compact(ids)).alias("sample_id"))
