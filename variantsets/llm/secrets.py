@@ -319,18 +319,23 @@ def train(sampled: list[tuple]) -> Model:
     flat = x.reshape(-1, dim)
     seen_moves = np.einsum("n,nti,ntj->ij", weight, hot[:, :-1], hot[:, 1:]) / n
     for k in range(1, ROUNDS + 1):
-        e = (flat @ w).reshape(n, width, 3)
-        fwd, bwd = np.empty_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
+        e = (flat @ w.astype(np.float32)).astype(np.float64).reshape(n, width, 3)
+        emit, step = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(move)
+        # Forward and backward shares, each place scaled to one.
+        fwd, bwd = np.empty_like(e), np.ones_like(e)
+        fwd[:, 0] = emit[:, 0]
         for t in range(1, width):
-            fwd[:, t] = e[:, t] + np.logaddexp.reduce(fwd[:, t - 1, :, None] + move, axis=1)
-        for t in range(width - 2, -1, -1):
-            bwd[:, t] = np.logaddexp.reduce(move + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], axis=2)
-        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-        p = np.exp(fwd + bwd - z[:, None, None])
-        gw = flat.T @ ((hot - p) * weight[:, None, None]).reshape(-1, 3) / n - RIDGE * w
-        pairs = np.exp(fwd[:, :-1, :, None] + move + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        gm = seen_moves - np.einsum("n,ntij->ij", weight, pairs) / n - RIDGE * move
+            f = (fwd[:, t - 1] @ step) * emit[:, t]
+            fwd[:, t] = f / f.sum(axis=1, keepdims=True)
+        gm = seen_moves - RIDGE * move
+        for t in range(width - 1, 0, -1):
+            ahead = emit[:, t] * bwd[:, t]
+            back = ahead @ step.T
+            gm -= step * ((fwd[:, t - 1] * (weight / (fwd[:, t - 1] * back).sum(axis=1))[:, None]).T @ ahead) / n
+            bwd[:, t - 1] = back / back.sum(axis=1, keepdims=True)
+        p = fwd * bwd
+        p /= p.sum(axis=2, keepdims=True)
+        gw = flat.T @ ((hot - p) * weight[:, None, None]).reshape(-1, 3).astype(np.float32) / n - RIDGE * w
         for v, g, (mean, square) in zip((w, move), (gw, gm), moments):
             mean += 0.1 * (g - mean)
             square += 0.01 * (g * g - square)
