@@ -11,7 +11,8 @@ without words is empty; it is like another empty one only.
 Each document is compared with its edited text, whose end is the start of the
 next document by descending doc_id, and with that next document. For this the
 table is dealt by ranges of doc_id, sorted within them, and the largest document
-of a range is also given to the range above it; no other row is copied.
+of a range is also given to the range above it; no other row is copied. Rows
+without doc_id, which may be many, are dealt by ranges of their texts' hashes.
 
 Defined results: null or empty texts have empty fingerprints; rows without
 doc_id come last; equal doc_ids are ordered by text; the document after the last
@@ -134,8 +135,11 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, k: int = S
     """A row per document: its fingerprint and its edited text's, and the likeness to that and to the next document."""
     parts = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    cuts = sorted({int(x) for x in rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    rows = rows.withColumn("part", _range_of(F.col("id"), cuts))
+    named = rows.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"))
+    cuts = sorted({int(x) for x in named.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    # The first ranges hold the rows without doc_id by the texts' hashes, the others the rest by doc_id.
+    by_hash = F.least(F.floor((F.xxhash64("text").cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1)).cast("int")
+    rows = rows.withColumn("part", F.when(F.col("id") == NO_ID, by_hash).otherwise(_range_of(F.col("id"), cuts) + parts).cast("int"))
     # The largest row of each range goes to the range above it as well; the largest of all to the lowest.
     tops = rows.groupBy("part").agg(F.max(F.struct("id", F.xxhash64("text").alias("h"))).alias("top"))
     line = Window.orderBy("part")  # a row per range
