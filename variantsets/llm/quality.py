@@ -29,8 +29,11 @@ REPEAT_PERCENT = 20
 WINDOW = 5
 #: Groups with fewer rows are judged by their language, then by all rows.
 MIN_GROUP = 50
-#: Concentration steps from the median/MAD start.
-STEPS = 4
+#: Concentration steps from the median/MAD start go on until no group's location or
+#: scatter moves by more than this share of its standard deviations; steps never raise
+#: the determinant, so MOST_STEPS only ends steps that turn on ties of the quantile.
+SETTLED = 0.01
+MOST_STEPS = 25
 #: Share of a group's rows in the h-subset.
 SUBSET = 0.75
 #: Squared distance beyond which a document is an outlier: the 0.999 quantile of
@@ -145,6 +148,15 @@ def _concentrate(d2: DataFrame, consistency: float, scratch: Scratch) -> DataFra
     return _factor(inside.groupBy("g").agg(*[F.avg(X[i]).alias(M[i]) for i in range(DIM)], *cov))
 
 
+def _moved(old: DataFrame, new: DataFrame) -> float:
+    """The largest move of any group's location or scatter, in standard deviations."""
+    before = old.select("g", *[F.col(c).alias(f"o_{c}") for c in old.columns if c != "g"])
+    deviation = [F.col(f"o_{L[i, i]}") for i in range(DIM)]
+    moves = [F.abs(F.col(m) - F.col(f"o_{m}")) / s for m, s in zip(M, deviation)]
+    moves += [F.abs(F.col(c) - F.col(f"o_{c}")) / deviation[i] for (i, _), c in L.items()]
+    return new.join(before, "g").agg(F.max(F.greatest(*moves))).first()[0] or 0.0
+
+
 def _consistency() -> float:
     """Factor that makes the scatter of the central share SUBSET that of all rows, for normal coordinates.
 
@@ -194,8 +206,10 @@ def quality(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     zero = [F.lit(0.0).alias(f"c{i}{j}") for i in range(DIM) for j in range(i)]
     params = _groups(_factor(around.select("g", *M, *[(F.col(f"s{i}") * F.col(f"s{i}") * 2.2).alias(f"c{i}{i}") for i in range(DIM)], *zero)), scratch)
     factor = _consistency()
-    for _ in range(STEPS):
-        params = _groups(_concentrate(_with_distance(fit, params), factor, scratch), scratch)
+    for _ in range(MOST_STEPS):
+        last, params = params, _groups(_concentrate(_with_distance(fit, params), factor, scratch), scratch)
+        if _moved(last, params) <= SETTLED:
+            break
     out = _with_distance(placed, params)
     tail = F.percentile_approx("d2", TAIL, 1000) / F.lit(TAIL_VALUE)
     cuts = _groups(_with_distance(fit, params).groupBy("g").agg((F.greatest(tail, F.lit(1.0)) * CUTOFF).alias("cut")), scratch)
