@@ -155,7 +155,7 @@ def test_license_scan(docs, corpus, empty, clashing):
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(starts), ",".join(sorted(labels)))
         assert (r["first_word"], r["last_word"]) == ((min(starts), max(starts)) if starts else (None, None))
         assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    assert got[602]["labels"] == "apache-2,cc-by,cc-by-nc,gpl,mit" and got[602]["permissive"] is True
+    assert got[602]["labels"] == "apache-2,cc-by-nc,gpl,mit" and got[602]["permissive"] is True
     assert licenses.license_scan(empty).count() == 0
     assert licenses.license_scan(clashing).count() == len(corpus)
 
@@ -170,6 +170,12 @@ def test_license_scan(docs, corpus, empty, clashing):
         ("MIT AND", "MIT", True),
         ("MIT AND (ISC", "MIT", True),
         (") MIT", "", False),
+        ("see LICENSE file", "", False),
+        ("MIT. See LICENSE", "MIT", True),
+        ("GPL-2.0 WITH MIT", "GPL-2.0", False),
+        ("MIT OR unheard-of", "MIT", True),
+        ("LicenseRef-Acme-1 OR BSD-3-Clause", "LicenseRef-Acme-1 BSD-3-Clause or", True),
+        ("CC-BY-NC-SA-4.0 OR LGPL-2.1-or-later", "CC-BY-NC-SA-4.0 LGPL-2.1-or-later or", False),
         ("MIT ISC", "MIT", True),
     ],
 )
@@ -178,6 +184,28 @@ def test_expressions(text, rpn, permissive):
     assert " ".join(got) == rpn and licenses.evaluate(got)[1] is permissive
 
 
+@pytest.mark.parametrize(
+    "text, labels, permissive",
+    [
+        ("SPDX-License-Identifier: see LICENSE file", "", None),
+        ("spdx license identifier MIT", "mit", True),
+        ("é ſ\n// SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 */ ISC", "classpath-exception,gpl", False),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: MPL-2.0\n", "mit,mpl-2", False),
+        ("SPDX-License-Identifier:\nMIT", "", None),
+        ("SPDX-License-Identifier", "", None),
+        ("CC BY-SA 4.0", "cc-by-sa", None),
+        ("CC BY-SA 4.0 or CC BY 4.0", "cc-by,cc-by-sa", None),
+        ("SPDX-License-Identifier: " + "MIT OR " * 50_000 + "ISC", "isc,mit", True),
+        ("SPDX-License-Identifier: " + "(" * 50_000, "", None),
+        ("SPDX-License-Identifier: MIT " * 20_000, "mit", True),
+    ],
+)
+def test_tags(text, labels, permissive):
+    got = licenses.scan_text(text, licenses.automaton(licenses.BASE, licenses.NOTICES, licenses.TAG))
+    assert got[5] == labels and got[7] is permissive
+    assert (got[6] == 0) == (not labels) and got[6] <= 1
+
+
 # --- quality ---------------------------------------------------------------
 
 
@@ -227,6 +255,41 @@ def test_quality_moderate_outliers(spark):
     assert all(got[2000 + i] and got[2010 + i] for i in range(5)) and sum(not got[i] for i in range(300)) <= 3
 
 
+def test_quality_against_exact_determinant(spark):
+    """Distances are those of the least determinant that many random starts with exact subsets find."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        n, symbols, dup = int(rng.lognormal(5, 0.7)) + 12, rng.binomial(60, 0.3), int(rng.integers(0, 6))
+        w = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 4 + i % 7))) for _ in range(n)]
+        rows.append((i, " ".join(w) + " " + "$" * symbols + "\nsame" * (dup + 1)))
+    rows += [(1000 + i, " ".join("$" * 30 + str(k) for k in range(40))) for i in range(60)]
+    df = spark.createDataFrame([(d, t, "en", "web") for d, t in rows], "doc_id long, text string, lang string, source string")
+    got = [r for r in quality.quality(df).collect() if not r["base_failed"]]
+    x = np.array([[r[c] for c in quality.X] for r in got])
+    h, floors = int(np.ceil(quality.SUBSET * len(x))), np.array(quality.FLOOR) ** 2
+
+    def fit(some):
+        c = np.cov(some.T, bias=True) * quality._consistency()
+        np.fill_diagonal(c, np.maximum(np.diag(c), floors))
+        return some.mean(0), c
+
+    def distance(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    best = None
+    for _ in range(60):
+        m, c = fit(x[rng.choice(len(x), 12, replace=False)])
+        for _ in range(30):
+            m, c = fit(x[np.argsort(distance(m, c))[:h]])
+        if best is None or np.linalg.det(c) < np.linalg.det(best[1]):
+            best = m, c
+    d2, exact = np.array([r["d2"] for r in got]), distance(*best)
+    near = exact < quality.CUTOFF
+    assert np.abs(np.sqrt(d2[near]) - np.sqrt(exact[near])).max() < 0.2
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+
+
 def test_quality_is_native(docs):
     plan = quality.quality(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -369,6 +432,22 @@ def test_fingerprints(docs, corpus, empty, clashing):
     assert one["near_next"] == 1
 
 
+def test_fingerprints_without_ids(spark):
+    """Rows without doc_id are dealt over tasks by hash and still form one order with the others."""
+    rows = [(None if i % 3 else i, f"text number {i} of its own " * (1 + i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = df.select("*", F.xxhash64("text").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]), reverse=True)
+    want = Counter()
+    for k, r in enumerate(order):
+        t, after = r["text"], order[(k + 1) % len(order)]["text"]
+        cut = len(t) // 3
+        want[r["doc_id"], len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    parted = fingerprints.fingerprints(df).withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in parted) == want
+    assert len({r["task"] for r in parted if r["doc_id"] is None}) > 1
+
+
 def test_fingerprint_estimates():
     f = fingerprints.Fingerprints()
     rng = np.random.default_rng(0)
