@@ -39,7 +39,8 @@ SUBSET = 0.75
 #: Squared distance beyond which a document is an outlier: the 0.999 quantile of
 #: chi-square with five degrees of freedom, raised by the factor by which the
 #: group's own TAIL quantile exceeds that of chi-square, as text statistics have
-#: heavier tails.
+#: heavier tails. The estimate bears outliers up to a share of 1 - SUBSET, but with more
+#: than 1 - TAIL of them in one group they raise that group's own cut-off.
 CUTOFF, TAIL, TAIL_VALUE = 20.515, 0.9, 9.236
 #: Least standard deviation of each coordinate, so that a statistic that is
 #: constant within a group cannot make its covariance singular: one symbol for
