@@ -331,3 +331,72 @@ def test_substring_dedup_of_edited_passages(spark):
     got = substring_dedup.substring_dedup(spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")).collect()
     assert all(r["doc_id"] == r["other_id"] + 1 for r in got) and all(r["identity"] >= substring_dedup.IDENTITY for r in got)
     assert len({r["doc_id"] for r in got}) >= 72
+
+
+def test_substring_dedup_of_crowded_seeds(spark):
+    """An edited passage is found though many documents before and between hold parts of it: copies, inserted and deleted words."""
+    new = iter(range(10**6))
+    w = lambda n: [f"u{next(new)}" for _ in range(n)]
+    docs, want = [], set()
+    for k, shift in enumerate((0, 1, -1)):
+        q = w(100)
+        edited = list(q)
+        for i in range(6, 100, 10):
+            edited[i : i + 1] = w(1 + shift * (i % 20 == 6))
+        base = 100_000 * k
+        docs += [(base + z + i, q[i : i + 30]) for z in (0, 20_000) for i in range(0, 71, 2)]
+        docs += [(base + z + i, edited[i : i + 30]) for z in (1000, 21_000) for i in range(0, 71, 2)]
+        docs += [(base + 10_000, w(40) + q + w(40)), (base + 30_000, w(40) + edited + w(40))]
+        want.add((base + 30_000, base + 10_000))
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == want
+
+
+def test_links_against_brute_force():
+    """Links join the places that passages join, in one block and over two."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(2, 2**16, (3, substring_dedup._WIDTH)).astype("<u2")
+    rows = []
+    for i in range(60):
+        v = base[i % 3].copy()
+        at = rng.choice(substring_dedup._WIDTH, int(rng.integers(0, 45)), replace=False)
+        v[at] = rng.integers(2, 2**16, len(at))
+        if i % 5 == 0:
+            at = int(rng.integers(60, 90))
+            v = np.r_[v[:at], v[at + 1 :], np.uint16(7)]
+        v[substring_dedup.ASIDE : substring_dedup.ASIDE + substring_dedup.K] = 5
+        rows.append(v)
+    words, doc = np.array(rows, "<u2"), np.arange(60)
+
+    def classes(pairs):
+        least = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    alike = [(a, b) for a in range(60) for b in range(a) if substring_dedup.straight(words[[a]], words[[b]])[0] or substring_dedup.aligned(words[a], words[b])]
+    i, j, u, v = substring_dedup.links(words, doc, np.full(60, -1))
+    assert set(zip(i.tolist(), j.tolist())) <= set(alike) and classes(zip(i.tolist(), j.tolist())) == classes(alike)
+    assert all((words[a, p : p + substring_dedup.K] == words[b, q : q + substring_dedup.K]).all() for a, b, p, q in zip(i, j, u, v))
+    assert 3 < len(set(classes(alike))) < 50
+    found = []
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        k = np.flatnonzero((doc % 2 == x) | (doc % 2 == y))
+        i, j, _, _ = substring_dedup.links(words[k], doc[k], np.full(len(k), -1) if x == y else doc[k] % 2)
+        found += zip(k[i].tolist(), k[j].tolist())
+    assert classes(found) == classes(alike)
+
+
+def test_subsequence_against_brute_force():
+    rng = np.random.default_rng(9)
+    p, q = (rng.integers(0, 5, (40, 12)) for _ in "ab")
+    got = substring_dedup.subsequence(p, q)
+    for k in range(40):
+        most = np.zeros((13, 13), int)
+        for a, b in itertools.product(range(12), range(12)):
+            most[a + 1, b + 1] = most[a, b] + 1 if p[k, a] == q[k, b] and p[k, a] else max(most[a, b + 1], most[a + 1, b])
+        ends = [(a, b) for a, b in itertools.product(range(1, 13), repeat=2) if p[k, a - 1] == q[k, b - 1] and p[k, a - 1]]
+        for found, words in zip(got, (lambda a, b: a + b, lambda a, b: a, lambda a, b: b)):
+            want = [0] + [max([most[a, b] for a, b in ends if words(a, b) == n], default=-100) for n in range(1, found.shape[1])]
+            assert found[k].tolist() == want
