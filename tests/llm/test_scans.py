@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -579,3 +580,13 @@ def test_model_is_a_distribution():
     for history in range(len(m.move)):
         p = sum(10 ** (m.move[history, m.class_of[i]] + m.emit[i]) for i in m.ids.values())
         assert p + 10 ** m.move[history, end] + 10 ** m.move[history, rare] == pytest.approx(1.0)
+
+
+def test_packing_encoder_stays():
+    """Tasks of a worker share what the tokenizer has been asked, and their ids are those of a task alone."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["some words of a text", None, "日本 words\nof a text"]})
+    packing.encoder.cache_clear()
+    first = next(packing._pieces(path, 8, True)(iter([batch])))
+    learnt = dict(packing.encoder(path).at)
+    assert len(learnt) >= 5 and next(packing._pieces(path, 8, True)(iter([batch]))).equals(first) and packing.encoder(path).at == learnt

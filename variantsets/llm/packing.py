@@ -24,6 +24,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -121,12 +122,18 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that what it has learnt stays."""
+    return Encoder(path)
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
