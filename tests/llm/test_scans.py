@@ -590,3 +590,17 @@ def test_packing_encoder_stays():
     first = next(packing._pieces(path, 8, True)(iter([batch])))
     learnt = dict(packing.encoder(path).at)
     assert len(learnt) >= 5 and next(packing._pieces(path, 8, True)(iter([batch]))).equals(first) and packing.encoder(path).at == learnt
+
+
+def test_sentencepiece_decoder_reads_pieces_once(monkeypatch):
+    """Tasks of a worker share the pieces, and sums of a place are the same for all segmentations that end there."""
+    path = public_tokenizers.path(sentencepiece.VOCABULARY)
+    sentencepiece.read_pieces.cache_clear()
+    made = []
+    pieces = sentencepiece.Pieces
+    monkeypatch.setattr(sentencepiece, "Pieces", lambda *a: made.append(a) or pieces(*a))
+    batch = next(sentencepiece._encode(path, 1.0, 1)(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some text, 日本", None]})])))
+    made.clear()
+    for _ in range(2):
+        assert next(sentencepiece._decode(path)(iter([batch]))).column("text").to_pylist() == ["some text, 日本", None]
+    assert len(made) == 1

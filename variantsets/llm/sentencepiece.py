@@ -29,7 +29,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise, repeat
+from itertools import compress, count, pairwise, repeat
 
 import numpy as np
 import public_tokenizers
@@ -138,8 +138,9 @@ class Trie:
         longest = size[order]
         for k in range(1, int(longest[0]) + 1):
             at = first[order[: np.searchsorted(-longest, -k, "right")]] + k
-            share = np.cumsum(total[at[:, None] - back] * sums[at], axis=1)
-            sums[at] = share
+            some = slice(max(0, reach - k), reach)  # no piece that ends here is longer
+            share = np.cumsum(total[at[:, None] - back[some]] * sums[at, some], axis=1)
+            sums[at, some] = share
             total[at] = share[:, -1]
         at, who, first = (first + size)[which], np.arange(len(which)), first[which]
         owners, drawn = [], []
@@ -215,6 +216,7 @@ class Lattice:
     def outcomes(self, most: int) -> list[tuple[float, list[str]]] | None:
         """All segmentations with their shares, in the order of u; None where there are more than ``most``."""
         out: list[tuple[float, list[str]]] = []
+        totals = [sum([s[2] for s in steps]) for steps in self.into]
         stack: list[tuple[int, float, list[str]]] = [(self.n, 1.0, [])]
         while stack:
             at, p, tail = stack.pop()
@@ -224,7 +226,7 @@ class Lattice:
                     return None
                 continue
             steps = self.into[at]
-            total = sum(s[2] for s in steps)
+            total = totals[at]
             stack += [(start, p * w / total, [*tail, part]) for start, part, w in reversed(steps)]
         return out
 
@@ -243,7 +245,10 @@ class Encoder:
         self.upto, self.first, self.size, self.ids = array("d"), array("q"), array("q"), array("i")
 
     def spell(self, parts: list[str]) -> list[int]:
-        out = []
+        try:
+            return [*map(self.pieces.id.__getitem__, parts)]
+        except KeyError:
+            out = []
         for p in parts:
             i = self.pieces.id.get(p)
             if i is None:
@@ -266,12 +271,12 @@ class Encoder:
 
     def count(self, chunks: list[str], times: np.ndarray) -> None:
         """Lists the chunks that have come often."""
-        met, first = self.met, min(LISTED)
-        for c, k in zip(chunks, times.tolist()):
-            before = met.get(c, 0)
-            met[c] = n = before + k
-            if n < first:
-                continue
+        met = self.met
+        had = np.fromiter(map(met.get, chunks, repeat(0)), np.int64, len(chunks))
+        have = had + times
+        met.update(zip(chunks, have.tolist()))
+        for i in np.flatnonzero(have >= min(LISTED)).tolist():
+            c, before, n = chunks[i], int(had[i]), int(have[i])
             for least, most in LISTED.items():
                 if before < least <= n and len(c) <= LONG and c not in self.at and len(self.at) < CACHE:
                     found = Lattice(c, self.pieces).outcomes(most)
@@ -318,8 +323,9 @@ class Encoder:
             row = np.searchsorted(np.frombuffer(self.upto, np.float64), which[known] + u[known], "right")
             first[known], size[known] = np.frombuffer(self.first, np.int64)[row], np.frombuffer(self.size, np.int64)[row]
         sampled = np.zeros(0, np.int32)
-        rare: dict[str, int] = {}
-        of = np.fromiter((rare.setdefault(chunks[i], len(rare)) for i in np.flatnonzero(~known).tolist()), np.int64)
+        others = list(compress(chunks, (~known).tolist()))
+        rare = dict(zip(dict.fromkeys(others), count()))
+        of = np.fromiter(map(rare.__getitem__, others), np.int64, len(others))
         if rare:
             sampled, size[~known] = self.sample(list(rare), of, u[~known])
         ends = np.cumsum(size)
@@ -363,9 +369,15 @@ def decode_ids(ids: np.ndarray | list[int], pieces: Pieces) -> str:
     return b"".join(map(pieces.text.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+@lru_cache(maxsize=1)
+def read_pieces(path: str) -> Pieces:
+    """The pieces for all tasks of a worker."""
+    return Pieces(path)
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = read_pieces(path)
         for batch in batches:
             col = batch.column("ids")
             flat, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
