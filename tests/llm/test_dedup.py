@@ -388,6 +388,55 @@ def test_links_against_brute_force():
     assert classes(found) == classes(alike)
 
 
+def test_alignments_against_paths_of_single_pairs():
+    """Pairs aligned at once are found as one by one, in a small part of the time."""
+    import time
+
+    S = substring_dedup
+    rng = np.random.default_rng(10)
+    some = rng.integers(2, 2**16, 30)
+    p = some[rng.integers(0, 30, (1500, S._WIDTH))].astype("<u2")  # few words, so that any two rows have most in common
+    q = p.copy()
+    for k in range(len(q)):
+        at = rng.choice(S._WIDTH, int(rng.integers(0, 60)), replace=False)
+        q[k, at] = some[rng.integers(0, 30, len(at))]
+        if k % 3 == 0:
+            q[k, : S.ASIDE - 20] = q[k, 1 : S.ASIDE - 19]
+        if k % 7 == 0:
+            q[k, : int(rng.integers(0, S.ASIDE))] = 0
+    p[:, S.ASIDE : S.ASIDE + S.K] = q[:, S.ASIDE : S.ASIDE + S.K] = 5
+    began = time.process_time()
+    to = S.alignments(p, q)
+    took = time.process_time() - began
+    began = time.process_time()
+    for k in range(150):
+        b = np.maximum(q[k], 1)
+        left = S.bridge(p[k, : S.ASIDE], b[: S.ASIDE])
+        right = [(S._WIDTH - 1 - i, S._WIDTH - 1 - j) for i, j in S.bridge(p[k, S.ASIDE + S.K :][::-1], b[S.ASIDE + S.K :][::-1])][::-1]
+        pairs = left + [(S.ASIDE + t, S.ASIDE + t) for t in range(S.K)] + right
+        good = S.parts(pairs, S.LEAST, S.IDENTITY)
+        assert [(int(x), int(to[k, x])) for x in np.flatnonzero(to[k] >= 0)] == (pairs if good else [])
+    assert took < time.process_time() - began
+    assert 20 < (to[:150].max(axis=1) >= 0).sum() < 130
+
+
+def test_links_of_many_seeds_are_those_of_each():
+    S = substring_dedup
+    rng = np.random.default_rng(11)
+    words = rng.integers(2, 2**16, (90, S._WIDTH)).astype("<u2")
+    for i in range(90):
+        if i % 9:
+            words[i] = words[i - i % 9]
+            words[i, rng.choice(S._WIDTH, int(rng.integers(0, 30)), replace=False)] = 9
+    words[:, S.ASIDE : S.ASIDE + S.K] = 5
+    seed, doc, block = np.arange(90) // 30, np.arange(90) % 30, np.full(90, -1)
+    want = set()
+    for k in range(3):
+        i, j, u, v = S.links(words[30 * k : 30 * k + 30], doc[:30], block[:30])
+        want |= set(zip((i + 30 * k).tolist(), (j + 30 * k).tolist(), u.tolist(), v.tolist()))
+    assert want and set(zip(*(c.tolist() for c in S.links(words, doc, block, seed)))) == want
+
+
 def test_subsequence_against_brute_force():
     rng = np.random.default_rng(9)
     p, q = (rng.integers(0, 5, (40, 12)) for _ in "ab")
