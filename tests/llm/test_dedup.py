@@ -449,3 +449,40 @@ def test_subsequence_against_brute_force():
         for found, words in zip(got, (lambda a, b: a + b, lambda a, b: a, lambda a, b: b)):
             want = [0] + [max([most[a, b] for a, b in ends if words(a, b) == n], default=-100) for n in range(1, found.shape[1])]
             assert found[k].tolist() == want
+
+
+@pytest.mark.parametrize("kind", ["phrase", "repeated word"])
+def test_links_of_many_places(kind):
+    """Passages among many places that share a phrase, or lie in runs of one word, are found at a cost about in proportion to the places."""
+    import time
+
+    S = substring_dedup
+
+    def places(n, rng):
+        words = np.where(rng.random((n, S._WIDTH)) < 0.3, rng.integers(10, 60, (n, S._WIDTH)), rng.integers(60, 60_000, (n, S._WIDTH))).astype("<u2")
+        words[:, S.ASIDE : S.ASIDE + S.K] = 5
+        if kind == "phrase":
+            words[:, S.ASIDE + S.K : S.ASIDE + 14] = np.arange(10) + 60_100
+        else:
+            left, run = rng.integers(0, 30, n), rng.integers(10, 41, n)
+            at = np.arange(S._WIDTH)
+            before, after = rng.integers(10, 60_000, (2, n, 1))
+            words = np.where(at < (S.ASIDE - left)[:, None], before, np.where(at < (S.ASIDE - left + np.maximum(left + S.K, run))[:, None], 5, after)).astype("<u2")
+        want = np.arange(50)
+        words[want + n - 50] = words[want]
+        words[want + n - 50, 0], words[want + n - 50, -1] = 3, 4  # edited
+        return words, np.arange(n), np.full(n, -1), n, want
+
+    took = []
+    for n in (2000, 8000):
+        words, doc, block, n, want = places(n, np.random.default_rng(12))
+        began = time.process_time()
+        i, j, _, _ = S.links(words, doc, block)
+        took.append(time.process_time() - began)
+        least = np.arange(n)
+        for _ in range(3):
+            for a, b in zip(i.tolist(), j.tolist()):
+                least[a] = least[b] = min(least[a], least[b])
+        assert (least[want + n - 50] == least[want]).all()
+        assert len({*i.tolist(), *j.tolist()}) < n / 4
+    assert took[1] < 9 * took[0]  # each with each: 16
