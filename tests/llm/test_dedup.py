@@ -486,3 +486,22 @@ def test_links_of_many_places(kind):
         assert (least[want + n - 50] == least[want]).all()
         assert len({*i.tolist(), *j.tolist()}) < n / 4
     assert took[1] < 9 * took[0]  # each with each: 16
+
+
+def test_word_hashes_tell_words_apart():
+    """Words of several texts are those of ``low_words``: equal ones have equal hashes, others have not, whatever their length."""
+    import pyarrow as pa
+
+    from variantsets.llm.common import low_words
+
+    rng = np.random.default_rng(13)
+    parts = [" ", "\t", "\n", "\x0b\x0c\r", "a", "A", "b", "É", "é", " ", "x" * 31, "Y" * 40, "0", "\0"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(300)] + [None, "", " ", "a", None]
+    for got in (pa.array(texts), pa.array([*texts[:3], *texts]).slice(3)):
+        w, n = substring_dedup.word_hashes(got)
+        words = [low_words(t) for t in texts]
+        assert n.tolist() == [len(x) for x in words]
+        pairs = set(zip(w.tolist(), itertools.chain(*words)))
+        assert len(pairs) == len({h for h, _ in pairs}) == len({x for _, x in pairs}) > 300
+    assert [len(c) for c in substring_dedup.word_hashes(pa.array([], pa.string()))] == [0, 0]
+    assert substring_dedup.word_hashes(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
