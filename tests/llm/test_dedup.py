@@ -505,3 +505,33 @@ def test_word_hashes_tell_words_apart():
         assert len(pairs) == len({h for h, _ in pairs}) == len({x for _, x in pairs}) > 300
     assert [len(c) for c in substring_dedup.word_hashes(pa.array([], pa.string()))] == [0, 0]
     assert substring_dedup.word_hashes(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("way", [1, 2, 3])
+def test_links_by_each_way_are_the_same(way, monkeypatch):
+    """Whatever way finds the pairs of places, they are joined alike."""
+    S = substring_dedup
+    rng = np.random.default_rng(14)
+    words = rng.integers(2, 60, (150, S._WIDTH)).astype("<u2")
+    for i in range(150):
+        if i % 5:
+            words[i] = words[i - i % 5]
+            words[i, rng.choice(S._WIDTH, int(rng.integers(0, 40)), replace=False)] = rng.integers(2, 60)
+    words[:, S.ASIDE : S.ASIDE + S.K] = 5
+    doc, block, seed = np.arange(150) % 75, np.full(150, -1), np.arange(150) // 75
+
+    def classes():
+        i, j, _, _ = S.links(words, doc, block, seed)
+        least = np.arange(150)
+        for _ in range(150):
+            for a, b in zip(i.tolist(), j.tolist()):
+                least[a] = least[b] = min(least[a], least[b])
+        return least.tolist()
+
+    want = classes()
+    none = (S._single_words, lambda h, there: there)  # dearer than any
+    monkeypatch.setattr(S, "DEAR", -1)
+    monkeypatch.setattr(S, "HELD", 20)
+    monkeypatch.setattr(S, "PRODUCT", 1e12 if way == 3 else 1e-12)
+    monkeypatch.setattr(S, "WAYS", tuple(S.WAYS[k] if k == way else none for k in range(3)))
+    assert classes() == want and 20 < len(set(want)) < 120
